@@ -1,0 +1,37 @@
+"""The registered queries over the core operators, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from colloquy.common import table
+from colloquy.operators import nested, timestamps
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return timestamps.found(table(spark, sf, "raw_export"), table(spark, sf, "gemini_activity"), table(spark, sf, "conversation_header"), table(spark, sf, "account_profile"))
+
+
+def p4_zone_estimates(spark: SparkSession, sf: str) -> DataFrame:
+    return timestamps.estimate_zones(table(spark, sf, "gemini_activity"), table(spark, sf, "account_profile"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.content_fields(table(spark, sf, "raw_export"))
+
+
+def p5_message_table(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.pivot_table(nested.flatten(table(spark, sf, "raw_export")), "chat_messages[]", ["uuid", "sender", "text", "created_at", "model"])
+
+
+def p5_attachment_table(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.pivot_table(nested.flatten(table(spark, sf, "raw_export")), "chat_messages[].attachments[]", ["file_name", "size", "private_runtime_url"])
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_zone_estimates, p5_found, p5_message_table, p5_attachment_table)}
+
+SQL: dict[str, str] = {}
