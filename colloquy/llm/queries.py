@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.common import table
-from colloquy.llm import conversations, splitting, tokenizer
+from colloquy.llm import conversations, pairs, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.found(table(spark, sf, "canonical_messages"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.rebuilt(table(spark, sf, "message_rows"))
 
@@ -28,6 +32,6 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encoded(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p6_found, p6_pieces, p7_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_pieces, p7_ids)}
 
 SQL: dict[str, str] = {"p2_found": conversations.FOUND_SQL, "p6_found": splitting.FOUND_SQL}
