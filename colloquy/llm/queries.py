@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.common import table
-from colloquy.llm import conversations, pairs, splitting, tokenizer
+from colloquy.llm import conversations, pairs, spam, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encoded(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_pieces, p7_ids)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spam.found(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_pieces, p7_ids, p9_found)}
 
 SQL: dict[str, str] = {"p2_found": conversations.FOUND_SQL, "p6_found": splitting.FOUND_SQL}
