@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.common import table
-from colloquy.llm import conversations, pairs, spam, splitting, tokenizer
+from colloquy.llm import conversations, pairs, pii, spam, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,18 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.rebuilt(table(spark, sf, "message_rows"))
 
 
+def _pii_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf, "canonical_messages"), table(spark, sf, "gemini_activity"), table(spark, sf, "name_list")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.found(*_pii_tables(spark, sf))
+
+
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redacted(*_pii_tables(spark, sf))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.found(table(spark, sf, "canonical_messages"), table(spark, sf, "checkpoint_report"))
 
@@ -36,6 +48,6 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spam.found(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p6_found, p6_pieces, p7_ids, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p6_found, p6_pieces, p7_ids, p9_found)}
 
 SQL: dict[str, str] = {"p2_found": conversations.FOUND_SQL, "p6_found": splitting.FOUND_SQL}
