@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colloquy.common import table
-from colloquy.llm import conversations, pairs, pii, spam, splitting, tokenizer
+from colloquy.llm import conversations, mixing, pairs, pii, spam, splitting, tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,10 +44,18 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encoded(table(spark, sf, "documents"))
 
 
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spam.found(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p6_found, p6_pieces, p7_ids, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares, p9_found)}
 
 SQL: dict[str, str] = {"p2_found": conversations.FOUND_SQL, "p6_found": splitting.FOUND_SQL}
