@@ -20,26 +20,33 @@ def hashed(canon: DataFrame) -> DataFrame:
     return canon.withColumn("hash", T.message_hash("role", "norm"))
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """conv_id and the digest over ``hash`` in the order of ``idx``."""
+def digests(rows: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
+    """conv_id and, for each column of hashes, the digest over it in the order of ``idx``."""
+    columns = columns or {"hash": "conversation_digest"}
+    names = ["conv_id", *columns.values()]
+    types = [pa.int64(), *[pa.string()] * len(columns)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, any_rows = None, None, False
+        key, states = None, []
         for batch in batches:
-            out: list[tuple[int, str]] = []
-            for conv, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not any_rows or conv != key:
-                    if any_rows:
-                        out.append((key, state.hexdigest()))
-                    key, state, any_rows = conv, hashlib.sha256(h.encode()), True
+            out: list[tuple] = []
+            for conv, *hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if not states or conv != key:
+                    if states:
+                        out.append((key, *(s.hexdigest() for s in states)))
+                    key, states = conv, [hashlib.sha256(h.encode()) for h in hashes]
                 else:
-                    state.update(b"\n" + h.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([d for _, d in out], pa.string())], ["conv_id", "conversation_digest"])
-        if any_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([state.hexdigest()], pa.string())], ["conv_id", "conversation_digest"])
+                    for state, h in zip(states, hashes):
+                        state.update(b"\n" + h.encode())
+            yield arrow(out)
+        if states:
+            yield arrow([(key, *(s.hexdigest() for s in states))])
 
-    ordered = rows.select("conv_id", "hash", "idx").repartition("conv_id").sortWithinPartitions("conv_id", "idx").select("conv_id", "hash")
-    return ordered.mapInArrow(run, "conv_id long, conversation_digest string")
+    def arrow(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(names), types)], names)
+
+    ordered = rows.select("conv_id", "idx", *columns).repartition("conv_id").sortWithinPartitions("conv_id", "idx").select("conv_id", *columns)
+    return ordered.mapInArrow(run, "conv_id long, " + ", ".join(f"{n} string" for n in columns.values()))
 
 
 def report(canon: DataFrame) -> DataFrame:

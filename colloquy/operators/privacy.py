@@ -18,7 +18,7 @@ def counts(canon: DataFrame) -> DataFrame:
     Only a bearer token can lie across two messages, where one ends in the word and the next begins with the token; these joints
     are found from the neighbours' ends, so the texts themselves are never joined.
     """
-    opens = F.col("text").rlike(rf"(?iu){T.B}Bearer{T.WS}*\z")
+    opens = F.col("text").rlike(rf"(?iu)Bearer(?<!{T.WORD}Bearer){T.WS}*\z")
     begins = F.col("text").rlike(rf"^{T.WS}*[A-Za-z0-9._~+/-]{{20,}}")
     order = Window.partitionBy("conv_id").orderBy("idx")
     rows = canon.select("conv_id", "idx", opens.alias("opens"), begins.alias("begins"), *[T.secret_count("text", p).alias(n) for n, p, _ in T.SECRETS])
@@ -34,9 +34,11 @@ def markers(rows: DataFrame, key: str, source: Column | str) -> DataFrame:
 
 
 def redacted(canon: DataFrame) -> DataFrame:
-    """The redacted text of each message and the count of each step."""
-    text, steps = T.redactions("text")
-    return canon.select("*", text.alias("redacted"), *[c.alias(n) for n, c in steps])
+    """The redacted text of each message and the count of each step. Each step is a projection of its own, so no pattern runs twice."""
+    rows = canon.withColumn("redacted", F.col("text"))
+    for name, pattern in [("private_key_material", T.KEY_BLOCK), *((n, p) for n, p, _ in T.SECRETS)]:
+        rows = rows.withColumn(name, T.secret_count("redacted", pattern)).withColumn("redacted", F.regexp_replace("redacted", pattern, f"[REDACTED:{name}]"))
+    return rows.withColumn("redacted", T.normalized("redacted"))
 
 
 def review(canon: DataFrame) -> DataFrame:
@@ -44,10 +46,9 @@ def review(canon: DataFrame) -> DataFrame:
     rows = redacted(canon)
     affected = sum((F.col(n) for n in STEPS[1:]), F.col(STEPS[0])) > 0
     left = sum((T.secret_count("redacted", p) for _, p, _ in T.SECRETS[1:]), T.secret_count("redacted", T.SECRETS[0][1]))
-    totals = rows.groupBy("conv_id").agg(F.count("*").alias("message_count"), *[F.sum(n).alias(n) for n in STEPS], F.count_if(affected).alias("affected_messages"), F.sum(left).alias("remaining"))
-    before = integrity.digests(integrity.hashed(rows.select("conv_id", "idx", "role", "norm"))).withColumnRenamed("conversation_digest", "source_digest")
-    after = integrity.digests(integrity.hashed(rows.select("conv_id", "idx", "role", F.col("redacted").alias("norm")))).withColumnRenamed("conversation_digest", "redacted_digest")
-    return totals.join(before, "conv_id").join(after, "conv_id")
+    rows = rows.select("conv_id", "idx", *STEPS, affected.alias("affected"), left.alias("left"), T.message_hash("role", "norm").alias("source"), T.message_hash("role", "redacted").alias("after"))
+    totals = rows.groupBy("conv_id").agg(F.count("*").alias("message_count"), *[F.sum(n).alias(n) for n in STEPS], F.count_if("affected").alias("affected_messages"), F.sum("left").alias("remaining"))
+    return totals.join(integrity.digests(rows, {"source": "source_digest", "after": "redacted_digest"}), "conv_id")
 
 
 def evidence(canon: DataFrame) -> DataFrame:
