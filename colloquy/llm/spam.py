@@ -30,9 +30,24 @@ GOODS = re.compile(r"\bSKU\s?-?\d+|[$€£]\s?\d|\b\d+[.,]\d\d(?:\s?(?:€|EUR|U
 WORD = re.compile(r"[^\W\d_][^\W_]*(?:[@][^\W_]+)*(?:['’][^\W_]+)?|\d+[^\W\d_@][\w@]*")
 SEPARATOR = re.compile(r"[|;,•·>»/\\~*]|\s[-–—]\s")
 MAY_LINK = re.compile(r"[/<]|\.[a-z]{2}|\]\(", re.I)
+DIGIT = re.compile(r"\d")
 ENDED = re.compile(r"[.!?…:][\"'»”’)\]]*$|[)\]»”]$")
-ENTRY = re.compile(r"\.{3,}\s*\d+\s*$|\t|^\s*(?:[-*•]\s+)?(?:Doc\.|Dok\.|No\.|Nr\.)\s|\([^()]*\)\s*$|^\W*[\w. ]{0,40}[:：]\s*\d+\W*$")
-CAPITALISED = re.compile(r"[^\W\d_a-zß-öø-ÿ]")
+HEAD = re.compile(r"(?:[-*•]\s+)?(?:Doc\.|Dok\.|No\.|Nr\.)\s|\W*[\w. ]{0,40}[:：]\s*\d+\W*$")
+LEADERS = re.compile(r"\.{3,}\s*\d+\s*$")
+
+
+def priced(piece: str) -> bool:
+    return bool(DIGIT.search(piece)) and bool(GOODS.search(piece))
+
+
+def is_ended(piece: str) -> bool:
+    """Whether a piece ends as a sentence does; only its last characters tell."""
+    return bool(ENDED.search(piece[-8:]))
+
+
+def is_entry(piece: str) -> bool:
+    """Whether a piece is an entry of a record: a table row, an agenda line with leaders, a numbered paper, a count, a trailing note in brackets."""
+    return "\t" in piece or bool(HEAD.match(piece)) or piece[-1] == ")" and "(" in piece or piece[-1].isdigit() and "..." in piece and bool(LEADERS.search(piece[piece.rfind("...") - 1 :]))
 
 
 def bucket(n: int) -> int:
@@ -45,24 +60,28 @@ def shape(piece: str) -> tuple:
     words = WORD.findall(piece.lower())
     n = len(words)
     content: dict[str, int] = {}
+    function = 0
     for w in words:
-        if len(w) > 2 and w not in FUNCTION:
+        if w in FUNCTION:
+            function += 1
+        elif len(w) > 2:
             content[w] = content.get(w, 0) + 1
-    capitals = sum(1 for w in piece.split() if CAPITALISED.match(w))
+    tokens = piece.split()
+    capitals = sum(w[0].isalpha() and not w[0].islower() for w in tokens)
     linked = sum(map(len, LINK.findall(piece))) + sum(map(len, ANCHOR.findall(piece))) if MAY_LINK.search(piece) else 0
     tagged = sum(map(len, TAG.findall(piece))) if "#" in piece or "+" in piece or "@" in piece or "tag" in piece else 0
     return (
         bucket(n),
         bucket(len(SEPARATOR.findall(piece))),
-        round(4 * capitals / max(1, len(piece.split()))),
-        round(8 * sum(w in FUNCTION for w in words) / max(1, n)),
+        round(4 * capitals / max(1, len(tokens))),
+        round(8 * function / max(1, n)),
         min(8, round(8 * linked / len(piece))),
         min(8, round(8 * tagged / len(piece))),
         min(8, max(content.values(), default=0)),
         round(8 * len(content) / max(1, sum(content.values()))),
-        bool(GOODS.search(piece)),
-        bool(ENDED.search(piece)),
-        bool(ENTRY.search(piece)),
+        priced(piece),
+        is_ended(piece),
+        is_entry(piece),
         piece[0].islower() or piece[0] in "#+|>»",
     )
 
@@ -103,7 +122,7 @@ def pieces(text: str) -> Iterator[str]:
         line = line.strip()
         if not line:
             continue
-        if ENTRY.search(line) and not (MAY_LINK.search(line) and LINK.search(line)):
+        if is_entry(line) and not (MAY_LINK.search(line) and LINK.search(line)):
             if block:
                 yield " , ".join(block)
                 block = []
@@ -113,7 +132,7 @@ def pieces(text: str) -> Iterator[str]:
             part = part.strip()
             if not part:
                 continue
-            if ENDED.search(part) or GOODS.search(part) or MAY_LINK.search(part) and LINK.search(part):
+            if is_ended(part) or priced(part) or MAY_LINK.search(part) and LINK.search(part):
                 if block:
                     yield " , ".join(block)
                     block = []
