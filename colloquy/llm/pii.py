@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 160
+#: Letters that may stand between a shared beginning and a shared ending; one after a beginning of three letters.
+LINK = 2
 #: At most so many listed names are shipped to the workers.
 NAME_BOUND = 100_000
 
@@ -89,7 +91,7 @@ class Names:
             return bits
         for bit, kind in ((1, "given"), (2, "family")):
             starts, ends = self.parts[kind]
-            if any(w[:i] in starts and w[i:] in ends for i in range(3, len(w) - 1)):
+            if any(w[:i] in starts and any(w[i + k :] in ends for k in range(min(LINK, i - 2) + 1)) for i in range(3, len(w) - 1)):
                 bits |= bit
         return bits
 
