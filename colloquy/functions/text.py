@@ -10,6 +10,7 @@ WS_RANGES = [(0x9, 0xD), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x16
 #: The same as a character class, in a form that Java and RE2 share.
 WS = "[" + "".join(r"\x{%x}-\x{%x}" % r for r in WS_RANGES) + "]"
 WS_RE2 = WS
+WS_CHARS = "".join(chr(c) for low, high in WS_RANGES for c in range(low, high + 1))
 WS_NOT_LF = WS.replace(r"[\x{9}-\x{d}", r"[\x{9}\x{b}-\x{d}")
 WORD = r"[\p{L}\p{N}_]"
 #: A word boundary as Python sees it.
@@ -46,7 +47,7 @@ def normalized(c: Column | str) -> Column:
     """Line ends as LF, runs of four or more LF as three, outer white space off."""
     t = F.regexp_replace(col(c), r"\r\n?", "\n")
     t = F.regexp_replace(t, r"\n{4,}", "\n\n\n")
-    return F.regexp_replace(t, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(t, F.lit(WS_CHARS))  # a pattern for the end would take square time on long blank runs
 
 
 def normalized_sql(x: str) -> str:
