@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONGEST = 160
+#: No part of a name has more letters.
+LONGEST_WORD = 40
 #: Letters that may stand between a shared beginning and a shared ending; one after a beginning of three letters.
 LINK = 2
 #: At most so many listed names are shipped to the workers.
@@ -85,6 +87,8 @@ class Names:
 
     def like(self, word: str) -> int:
         """1 for a given name, 2 for a family name, 3 for both; listed, or composed of shared parts."""
+        if len(word) > LONGEST_WORD:
+            return 0
         w = word.lower()
         bits = (w in self.given) | (w in self.family) << 1
         if bits or len(w) < 5:
@@ -107,7 +111,7 @@ EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9](?:[\w.%+-]*[\w])?{AT}(?:[A-Za-z0-
 SPOKEN_EMAIL = re.compile(rf"(?<![\w.+%-])[A-Za-z0-9][\w.%+-]*{S}at{S}(?:[A-Za-z0-9-]+{S}dot{S})+[A-Za-z]{{2,24}}(?!\w)", re.I)
 
 PHONE = re.compile(
-    r"(?<![\w.+/-])(?<!\d[ ,])(?:(?P<intl>(?:\+|00)[1-9]\d{0,2})[ .\-/]?)?(?P<rest>(?:\(0?\d{1,5}\)[ .\-/]?)?\d{2,}(?:[ .\-/]?\d{2,})*|(?:\(0?\d{1,5}\)[ .\-/]?)\d{1,}(?:[ .\-/]?\d{1,})*|\d(?:[ .\-/]\d{2,})+)(?![\w]|[.,]\d|[-/]\w)"
+    r"(?<![\w.+/-])(?<!\d[ ,])(?:(?P<intl>(?:\+|00)[1-9]\d{0,2})[ .\-/]?)?(?P<rest>(?:\(0?\d{1,5}\)[ .\-/]?)?\d{2,}+(?:[ .\-/]?\d{2,}+)*+|(?:\(0?\d{1,5}\)[ .\-/]?)\d++(?:[ .\-/]?\d++)*+|\d(?:[ .\-/]\d{2,}+)++)(?![\w]|[.,]\d|[-/]\w)"
 )
 PHONE_FORMS = [
     re.compile(p)

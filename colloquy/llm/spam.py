@@ -23,7 +23,7 @@ from colloquy.llm.pairs import FUNCTION_WORDS
 
 FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split()) - {"best"}
 SPLIT = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+")
-LINK = re.compile(r"<[a-z/!][^>]*>|\]\([^)\s]*\)|(?:https?:|www\.|//)\S+|(?<![\w@])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}/\S*|(?<![\w@])(?:[\w-]+\.)+(?:example|invalid|test|com|net|org|info|biz|io|shop)\b\S*", re.I)
+LINK = re.compile(r"<[a-z/!][^>]*>|\]\([^)\s]*\)|(?:https?:|www\.|//)\S+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}/\S*|(?<![\w@.-])(?:[\w-]+\.)+(?:example|invalid|test|com|net|org|info|biz|io|shop)\b\S*", re.I)
 ANCHOR = re.compile(r"<a\b[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)", re.I)
 TAG = re.compile(r"(?<!\S)(?:[#+@]|tags?:)[^\s,;]*[^\W\d_][^\s,;]*", re.I)
 GOODS = re.compile(r"\bSKU\s?-?\d+|[$€£]\s?\d|\b\d+[.,]\d\d(?:\s?(?:€|EUR|USD|\$|£))?\s*$", re.I)
