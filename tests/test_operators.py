@@ -21,7 +21,7 @@ ROWS = [
     (1, 1, 0, "user", "  hi \r\n"), (1, 1, 0, "user", "  hi \r\n"), (2, 1, 1, "assistant", "a\n\n\n\n\nb"), (3, 1, 2, "user", None), (4, 1, 3, "system", "s"), (5, 1, 3, "assistant", " \t"), (6, 1, 4, "assistant", "end"),
     (7, 2, 0, "user", "x" * 200_000), (8, None, 0, "user", "lost"), (9, 3, None, "user", "no place"), (10, 3, 0, "user", "tie"), (11, 3, 0, "assistant", "tie"), (12, 4, 0, None, "no role"),
 ]
-KEPT = {1: [("user", "  hi \r\n"), ("assistant", "a\n\n\n\n\nb"), ("assistant", "end")], 2: [("user", "x" * 200_000)], 3: [("user", "no place"), ("user", "tie"), ("assistant", "tie")]}
+KEPT = {1: [("user", "  hi \r\n"), ("assistant", "a\n\n\n\n\nb"), ("assistant", "end")], 2: [("user", "x" * 200_000)], 3: [("user", "tie"), ("assistant", "tie"), ("user", "no place")]}
 
 
 def test_canonical_and_integrity(spark):
