@@ -36,3 +36,12 @@ def python_partitions(frame: DataFrame, per_core: int = 2) -> DataFrame:
     if frame.rdd.getNumPartitions() >= cores:
         return frame
     return frame.repartition(cores * per_core)
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """``frame`` hashed by ``keys`` over all shuffle partitions before a Python stage.
+
+    Adaptive execution merges small partitions by their bytes, which would leave work in Python, heavy for its bytes, on few cores.
+    """
+    spark = frame.sparkSession
+    return frame.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)

@@ -103,7 +103,8 @@ def state_pattern() -> str:
 
 def state_hits(c: Column | str) -> Column:
     """Hits of the state vocabulary, English with word boundaries, Chinese without."""
-    english = F.regexp_count(col(c), F.lit(rf"(?iu){B}(?:{state_pattern()}){B}"))
+    lower = F.translate(F.lower(col(c)), chr(0x17F), "s")  # the long s counts as s without case
+    english = F.regexp_count(lower, F.lit(rf"(?<!{WORD})(?:{state_pattern()})(?!{WORD})"))
     return (english + F.regexp_count(col(c), F.lit("|".join(STATE_CHINESE)))).cast("bigint")
 
 

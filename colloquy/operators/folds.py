@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from colloquy.common import spread
+
 
 def running(rows: DataFrame, key: str, order: list[str], value: str, step: Callable[[object, object], tuple[object, int]], name: str) -> DataFrame:
     """``rows`` with a long column ``name``: ``step(state, row's value)`` gives the next state and the column; the state is None at each new key.
@@ -25,6 +27,6 @@ def running(rows: DataFrame, key: str, order: list[str], value: str, step: Calla
                 out.append(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, name])
 
-    sorted_rows = rows.repartition(key).sortWithinPartitions(key, *order)
+    sorted_rows = spread(rows, key).sortWithinPartitions(key, *order)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return sorted_rows.mapInArrow(run, f"{fields}, {name} long")

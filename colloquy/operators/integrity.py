@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.common import spread
 from colloquy.functions import text as T
 
 
@@ -45,7 +46,7 @@ def digests(rows: DataFrame, columns: dict[str, str] | None = None) -> DataFrame
     def arrow(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(names), types)], names)
 
-    ordered = rows.select("conv_id", "idx", *columns).repartition("conv_id").sortWithinPartitions("conv_id", "idx").select("conv_id", *columns)
+    ordered = spread(rows.select("conv_id", "idx", *columns), "conv_id").sortWithinPartitions("conv_id", "idx").select("conv_id", *columns)
     return ordered.mapInArrow(run, "conv_id long, " + ", ".join(f"{n} string" for n in columns.values()))
 
 
