@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.common import python_partitions
+
 LONGEST = 160
 #: No part of a name has more letters.
 LONGEST_WORD = 40
@@ -443,7 +445,7 @@ def mapped(messages: DataFrame, activity: DataFrame, name_list: DataFrame, redac
 
     schema = "src string, rec_id long, " + ", ".join(f"{c} string" for c in columns)
     own, shown = texts(messages, activity)
-    return own.mapInArrow(run, schema).unionByName(shown.mapInArrow(run, schema))
+    return python_partitions(own).mapInArrow(run, schema).unionByName(python_partitions(shown).mapInArrow(run, schema))
 
 
 def found(messages: DataFrame, activity: DataFrame, name_list: DataFrame) -> DataFrame:
