@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
@@ -19,16 +19,16 @@ def newest_headers(headers: DataFrame) -> DataFrame:
 
 
 def structural(messages: DataFrame, headers: DataFrame) -> DataFrame:
-    """The structural checks of each conversation that has a header, on its messages as delivered."""
-    rows = messages.select("conv_id", "msg_id", "idx", "role", "text").where("conv_id is not null").repartition("conv_id").dropDuplicates(["conv_id", "msg_id"])
-    order = Window.partitionBy("conv_id").orderBy("idx", "msg_id")
-    rows = rows.withColumn("place", F.row_number().over(order) - 1)
-    found = rows.groupBy("conv_id").agg(
-        F.bool_and(F.coalesce(F.col("role").isin(*T.ROLES), F.lit(False))).alias("canonical_roles"),
-        F.bool_and(F.coalesce(F.col("idx") == F.col("place"), F.lit(False))).alias("contiguous_indices"),
-        F.bool_and(T.normalized(F.coalesce("text", F.lit(""))) != "").alias("nonempty_text"),
-        F.lit(True).alias("some"),
-    )
+    """The structural checks of each conversation that has a header, on its messages as delivered.
+
+    Texts are judged where they are read and never moved; indices are contiguous if each occurs once and they end at their number.
+    """
+    ok = F.coalesce(F.col("role").isin(*T.ROLES), F.lit(False)).alias("role_ok")
+    filled = (T.normalized(F.coalesce("text", F.lit(""))) != "").alias("filled")
+    rows = messages.where("conv_id is not null").select("conv_id", "msg_id", "idx", ok, filled).distinct()
+    places = rows.groupBy("conv_id", "idx").agg(F.count("*").alias("n"), F.bool_and("role_ok").alias("role_ok"), F.bool_and("filled").alias("filled"))
+    whole = (F.count("idx") == F.count("*")) & (F.max("n") == 1) & (F.min("idx") == 0) & (F.max("idx") == F.count("*") - 1)
+    found = places.groupBy("conv_id").agg(F.bool_and("role_ok").alias("canonical_roles"), F.coalesce(whole, F.lit(False)).alias("contiguous_indices"), F.bool_and("filled").alias("nonempty_text"), F.lit(True).alias("some"))
     kind = F.regexp_replace("source_kind", rf"^{T.WS}+|{T.WS}+\z", "")
     joined = newest_headers(headers).join(found, "conv_id", "left")
     checks = {
