@@ -191,3 +191,28 @@ def test_share_links(spark):
     cases = {mark: f"https://chatgpt.com/share/{mark}", f"share/{mark}": f"https://chatgpt.com/share/{mark}", f" https://chat.openai.com/share/{mark} ": f"https://chat.openai.com/share/{mark}", "https://example.com/share/x": None, "notes": None, "": None}
     frame = spark.createDataFrame([(c,) for c in cases], "c string").select("c", T.share_url("c").alias("link"))
     assert {r.c: r.link for r in frame.collect()} == cases
+
+
+STATE_TEXTS = [
+    "Der Fehler bleibt: error, naechster Schritt offen", "Für den Merge muss gelten: do not commit, überversion", "L'étape est bloquée, error error", "Échec : le merge\nest pending, émust", "¿Está verified? El año próximo, sha y commit",
+    "下一步:验证版本,todo然后提交", "没有问题", "必须 must 不要 do  not", "plain error", "Nothing of note", "next action, must never", "error", "ERROR Blocked ſha", "再见",
+]
+
+
+def test_state_markers_of_every_language_equal_brute_force(spark, tmp_path):
+    import re
+
+    from colloquy.plans import queries
+
+    rng = random.Random(11)
+    rows = [(conv * 100 + i, conv, i, rng.choice(["user", "assistant"]), " ".join(rng.sample(STATE_TEXTS, rng.randint(1, 2)))) for conv in range(30) for i in range(rng.randint(1, 9))]
+    rows += [(9000 + i, 90, i, "user", t) for i, t in enumerate(STATE_TEXTS)]
+    messages(spark, rows).write.parquet(f"{tmp_path}/canonical_messages.parquet")
+    english, chinese = re.compile(rf"\b(?:{T.state_pattern()})\b", re.I), re.compile("|".join(T.STATE_CHINESE))
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for _, conv, i, _, text in rows:
+        if n := len(english.findall(text)) + len(chinese.findall(text)):
+            hits.setdefault(conv, []).append((n, i))
+    want = {(conv, i, n, rank) for conv, own in hits.items() for rank, (n, i) in enumerate(sorted(own, reverse=True)[: queries.TOP_MARKERS], 1)}
+    got = {(r.conv_id, r.idx, r.hits, r["rank"]) for r in queries.QUERIES["state_marker_topk_all"](spark, str(tmp_path)).collect()}
+    assert got == want and any(conv == 90 and not STATE_TEXTS[i].isascii() for conv, i, *_ in got)
