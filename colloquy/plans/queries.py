@@ -303,10 +303,15 @@ def titles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(canon_sql("""SELECT conv_id, idx, '{"role": ' || CAST(to_json(role) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}' AS line FROM canon WHERE NOT regexp_matches(text, '[\\x{0}-\\x{9}\\x{b}-\\x{1f}\\x{7f}]')"""))
 def jsonl_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Over texts without control characters but LF, whose JSON escapes both engines write alike."""
+    """Only over texts without control characters but LF; the export of every message is ``jsonl_export_all``."""
     return sinks.jsonl_rows(canon(spark, sf).where(~F.col("text").rlike(r"[\x00-\x09\x0b-\x1f\x7f]")))
 
 
+@query(canon_sql("""SELECT conv_id, idx, '{"role": ' || CAST(to_json(role) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}' AS line FROM canon"""))
+def jsonl_export_all(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.jsonl_rows(canon(spark, sf))
+
+
 ESCAPE_SQL = r"regexp_replace({0}, '(?m)^(\\*<<<(?:USER|ASSISTANT)>>>[ \t]*)$', '\\\1', 'g')"
 
 

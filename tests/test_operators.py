@@ -216,3 +216,19 @@ def test_state_markers_of_every_language_equal_brute_force(spark, tmp_path):
     want = {(conv, i, n, rank) for conv, own in hits.items() for rank, (n, i) in enumerate(sorted(own, reverse=True)[: queries.TOP_MARKERS], 1)}
     got = {(r.conv_id, r.idx, r.hits, r["rank"]) for r in queries.QUERIES["state_marker_topk_all"](spark, str(tmp_path)).collect()}
     assert got == want and any(conv == 90 and not STATE_TEXTS[i].isascii() for conv, i, *_ in got)
+
+
+def test_jsonl_export_holds_every_message(spark, tmp_path):
+    import json
+    import re
+
+    from colloquy.plans import queries
+
+    codes = [*range(0x21), 0x22, 0x5C, 0x7F, 0x85, 0x2028, 0xFEFF, 0x1F600]
+    rows = [(i, 1, i, "user" if i % 2 else "assistant", f"a\\u000B{chr(c)}b") for i, c in enumerate(codes)] + [(900, 2, 0, "user", "one\r\ntwo\rthree\tfour\n")]
+    messages(spark, rows).write.parquet(f"{tmp_path}/canonical_messages.parquet")
+    got = {(r.conv_id, r.idx): r.line for r in queries.QUERIES["jsonl_export_all"](spark, str(tmp_path)).collect()}
+    assert {k: json.loads(line) for k, line in got.items()} == {(conv, i): {"role": role, "text": text} for _, conv, i, role, text in rows}
+    escape = re.compile(r"(?<!\\)((?:\\\\)*)\\u([0-9A-Fa-f]{4})")
+    for _, conv, i, role, text in rows:
+        assert escape.sub(lambda m: f"{m[1]}\\u{m[2].lower()}", got[conv, i]) == json.dumps({"role": role, "text": text}, ensure_ascii=False)
