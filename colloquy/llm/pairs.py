@@ -201,7 +201,7 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
 def is_empty(text: str | None) -> bool:
     if text is None or not VISIBLE.search(text):
         return True
-    return len(text) < 80 and (not WORDLIKE.search(text) or bool(PLACEHOLDER.fullmatch(text.strip(" \t\r\n\u200b\ufeff\xa0"))))
+    return not WORDLIKE.search(text) or bool(PLACEHOLDER.fullmatch(text.strip(" \t\r\n\u200b\ufeff\xa0")))
 
 
 def is_copy(question: list[str], answer: list[str]) -> bool:
@@ -234,7 +234,7 @@ def is_refusal_sentence(sentence: list[str]) -> bool:
 
 
 def is_refusal(text: str) -> bool:
-    if len(text) > 600 or "```" in text or not CUES.search(text):
+    if "```" in text or not CUES.search(text):
         return False
     refused, rest = False, 0
     for sentence in SENTENCE.split(text):
@@ -247,7 +247,9 @@ def is_refusal(text: str) -> bool:
                 continue
         if not COURTESY.match(sentence.strip(" \"'“„«")):
             rest += len(w)
-    return refused and rest <= 12
+            if rest > 12:
+                return False
+    return refused
 
 
 ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])(?:\s+|$)")

@@ -54,6 +54,13 @@ def test_very_long_texts_take_no_square_time():
     assert X.defect(words, GOOD) is None
 
 
+def test_length_decides_neither_refusal_nor_emptiness():
+    courtesy = " Thank you for your patience and for writing to us at such length about this matter." * 8
+    assert X.defect(Q, "I'm sorry, but I can't help with that." + courtesy) == "refusal"
+    assert X.defect(Q, "I'm sorry, but I can't help with that." + courtesy + " " + GOOD) is None
+    assert all(X.defect(Q, a) == "empty" for a in ("N/A" + " " * 80, "\n" * 90 + "[no response]", "-" * 100))
+
+
 def test_pairs_of_dirty_rows(spark):
     schema = "msg_id long, conv_id long, idx int, role string, text string, question string, at string"
     rows = [(1, 1, 0, "user", Q), (2, 1, 1, "assistant", None), (2, 1, 1, "assistant", None), (3, 1, 3, "assistant", None), (4, 2, 0, "user", None), (5, 2, 1, "assistant", "..."), (6, None, 1, "assistant", ""), (7, 3, 0, "user", Q), (8, 3, 1, "user", Q), (9, 3, 2, "assistant", GOOD), (10, 4, 0, "assistant", ""), (11, 5, None, "user", Q)]
