@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -183,13 +183,20 @@ def template_index() -> dict[tuple[str, ...], list[int]]:
     return index
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence, a row of bits at a time."""
-    if not a or not b:
-        return 0
+def places_of(a: list[str]) -> dict[str, int]:
+    """The places of each word, as bits."""
     places: dict[str, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
+    return places
+
+
+def common_subsequence(a: list[str], b: Sequence[str], places: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a row of bits at a time; places: those of ``a``, if at hand."""
+    if not a or not b:
+        return 0
+    if places is None:
+        places = places_of(a)
     full = row = (1 << len(a)) - 1
     for w in b:
         if m := places.get(w):
@@ -226,11 +233,9 @@ def is_refusal_sentence(sentence: list[str]) -> bool:
     for pair in set(zip(sentence, sentence[1:])):
         for i in index.get(pair, ()):
             hits[i] = hits.get(i, 0) + 1
-    for i in sorted(hits, key=hits.__getitem__, reverse=True)[:12]:
-        t = templates()[i]
-        if hits[i] >= 0.5 * (len(t) - 1) and common_subsequence(list(t), sentence) >= 0.85 * len(t):
-            return True
-    return False
+    near = [(n, i) for i, n in hits.items() if n >= 0.5 * (len(templates()[i]) - 1)]
+    places = places_of(sentence) if near else {}
+    return any(common_subsequence(sentence, templates()[i], places) >= 0.85 * len(templates()[i]) for _, i in sorted(near, reverse=True))
 
 
 def is_refusal(text: str) -> bool:

@@ -61,6 +61,15 @@ def test_length_decides_neither_refusal_nor_emptiness():
     assert all(X.defect(Q, a) == "empty" for a in ("N/A" + " " * 80, "\n" * 90 + "[no response]", "-" * 100))
 
 
+def test_every_template_is_aligned():
+    """Where an open phrase shares more word pairs with dozens of long templates than the refusal behind it with its own."""
+    for sentence in ("Regrettably I would prefer not to, so I'm afraid I can't provide this.", "Apologies, but I am unable to take part, ich darf dazu lieber nicht äußern."):
+        w = X.words(sentence)
+        assert any(X.common_subsequence(list(t), w) >= 0.85 * len(t) for t in X.templates() if len(set(zip(t, t[1:])) & set(zip(w, w[1:]))) >= 0.5 * (len(t) - 1))
+        assert X.defect(Q, sentence) == "refusal"
+    assert not X.is_refusal_sentence(X.words("I am not able " * 15_000))
+
+
 def test_pairs_of_dirty_rows(spark):
     schema = "msg_id long, conv_id long, idx int, role string, text string, question string, at string"
     rows = [(1, 1, 0, "user", Q), (2, 1, 1, "assistant", None), (2, 1, 1, "assistant", None), (3, 1, 3, "assistant", None), (4, 2, 0, "user", None), (5, 2, 1, "assistant", "..."), (6, None, 1, "assistant", ""), (7, 3, 0, "user", Q), (8, 3, 1, "user", Q), (9, 3, 2, "assistant", GOOD), (10, 4, 0, "assistant", ""), (11, 5, None, "user", Q)]
