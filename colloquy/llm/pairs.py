@@ -288,7 +288,7 @@ def defect(question: str | None, answer: str | None) -> str | None:
     if is_empty(answer):
         return "empty"
     q = words(question) if question else []
-    if q and len(answer) < 4 * len(question) + 40 and is_copy(q, words(answer)):
+    if q and is_copy(q, words(answer)):
         return "copy"
     if is_refusal(answer):
         return "refusal"

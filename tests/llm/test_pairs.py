@@ -70,6 +70,11 @@ def test_every_template_is_aligned():
     assert not X.is_refusal_sentence(X.words("I am not able " * 15_000))
 
 
+def test_copy_any_number_of_times():
+    assert all(X.defect(q, " ".join([q] * n)) == "copy" for q in ("Is the cache warm?", Q) for n in (1, 2, 4, 6, 9, 40))
+    assert X.defect("Is the cache warm?", "Is the cache warm? " + GOOD * 3) is None
+
+
 def test_pairs_of_dirty_rows(spark):
     schema = "msg_id long, conv_id long, idx int, role string, text string, question string, at string"
     rows = [(1, 1, 0, "user", Q), (2, 1, 1, "assistant", None), (2, 1, 1, "assistant", None), (3, 1, 3, "assistant", None), (4, 2, 0, "user", None), (5, 2, 1, "assistant", "..."), (6, None, 1, "assistant", ""), (7, 3, 0, "user", Q), (8, 3, 1, "user", Q), (9, 3, 2, "assistant", GOOD), (10, 4, 0, "assistant", ""), (11, 5, None, "user", Q)]
