@@ -7,6 +7,7 @@ is laid out as its documents in hash order, pass after pass, and used up to its
 The order of the mix is a Pfair schedule. Each source's layout is cut into blocks of equal size; block ``j`` of a source with share ``w`` is released
 at ``floor(j / w)`` and due at ``ceil((j + 1) / w)``; in each slot the released block with the earliest deadline runs. After any number of
 slots each source is less than one block away from its share. The schedule has ``blocks`` slots whatever the data, so it is made on the driver.
+A source too small to get any of them has all its uses in the last slot.
 
 Running totals within a source are taken in two levels, within hash buckets and over the buckets' sums, so a source with
 a third of all documents is spread over ``BUCKETS`` groups.
@@ -112,7 +113,8 @@ def mixed(documents: DataFrame, targets: DataFrame, blocks: int = BLOCKS) -> tup
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
     at = F.col("start") + (F.col("copy") - 1) * F.col("supply")
     rows = rows.withColumn("at", at).withColumn("block", F.least(F.floor(F.col("at") / F.lit(size)), F.col("last_block")).cast("int"))
-    return rows.join(F.broadcast(times), ["source", "block"]).select("slot", "source", "at", "doc_id", "copy", "tokens"), planned
+    rows = rows.join(F.broadcast(times), ["source", "block"], "left").withColumn("slot", F.coalesce("slot", F.lit(blocks - 1)))
+    return rows.select("slot", "source", "at", "doc_id", "copy", "tokens"), planned
 
 
 def mix(documents: DataFrame, targets: DataFrame) -> DataFrame:

@@ -44,6 +44,15 @@ def test_mix_and_shares(spark):
     assert run / total == pytest.approx(got["big"].actual_share)
 
 
+def test_a_source_without_slot_is_in_the_mix(spark):
+    documents = spark.createDataFrame([(i, f"word number {i} and a few more", "big") for i in range(300)] + [(1000 + i, "word", "tiny") for i in range(3)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 400.0, 1), ("tiny", 1.0, 1)], "source string, target_weight double, max_repeats int")
+    rows, planned = X.mixed(documents, targets, blocks=10)
+    assert {s["source"] for s in planned if s["target"] > 0} == {"big", "tiny"} and "tiny" not in {s for s, _ in X.schedule({s["source"]: s["share"] for s in planned}, 10)}
+    uses = rows.collect()
+    assert {u.slot for u in uses if u.source == "tiny"} == {9} and {u.doc_id for u in uses if u.source == "tiny"} == {1000, 1001, 1002}
+
+
 def test_empty(spark):
     documents = spark.createDataFrame([], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_weight double, max_repeats int")
