@@ -16,12 +16,16 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """``frame`` written to the shared checkpoint folder, with its lineage cut.
 
     The folder is the session's ``spark.checkpoint.dir``, which all executors share.
-    Only where that setting is missing, as in local tests, a folder below the warehouse is used.
+    Only a local session, which has no other machines, may do without: it gets a folder below its warehouse.
     """
     spark = frame.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        place = sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            place = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints-{uuid.uuid4().hex}"
         sc.setCheckpointDir(place)
     return frame.checkpoint(eager=True)
 
@@ -31,6 +35,7 @@ def python_partitions(frame: DataFrame, per_core: int = 2) -> DataFrame:
 
     A table that arrives as one file of one row group is one task; a round-robin exchange
     costs one pass over its bytes and is only added while the scan has fewer partitions than cores.
+    The rows are the same either way.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     if frame.rdd.getNumPartitions() >= cores:
