@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from colloquy.common import python_partitions
 from colloquy.operators import nested
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
@@ -204,19 +203,10 @@ def utc_micros_udf(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Ser
 
 
 def export_times(exports: DataFrame) -> DataFrame:
-    """uuid, account and created_at of each chat record, the last two as their literals."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text in frame["content"]:
-                for record in nested.records(nested.parse(text if isinstance(text, str) else None)):
-                    account = record.get("account")
-                    user = nested.literal(account.get("user_id")) if isinstance(account, dict) else None
-                    rows.append((nested.literal(record.get("uuid")), user, nested.literal(record.get("created_at"))))
-            yield pd.DataFrame(rows, columns=["rec_key", "user", "value"], dtype=object)
-
-    return python_partitions(exports.select("content")).mapInPandas(run, "rec_key string, user string, value string")
+    """uuid, account and created_at of each chat record, as their literals."""
+    rows = nested.objects(exports, wanted=r"(?:^|[.\]])(?:uuid|account\.user_id|created_at)$").where("table_path = ''")
+    leaf = lambda name: F.col("leaves")[name]
+    return rows.select(F.col("conv_uuid").alias("rec_key"), leaf("account.user_id").alias("user"), leaf("created_at").alias("value"))
 
 
 def normalised(rows: DataFrame, accounts: DataFrame) -> DataFrame:

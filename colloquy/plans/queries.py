@@ -49,19 +49,43 @@ def p4_zone_estimates(spark: SparkSession, sf: str) -> DataFrame:
     return timestamps.estimate_zones(table(spark, sf, "gemini_activity"), table(spark, sf, "account_profile"))
 
 
-@query()
+@query(nested.FOUND_SQL)
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.content_fields(table(spark, sf, "raw_export"))
 
 
-@query()
+# The columns of the tables of exported records.
+RECORD_LEAVES = ["uuid", "name", "created_at", "account.user_id", "account.email", "organization.id", "sessionToken"]
+MESSAGE_LEAVES = ["uuid", "sender", "text", "created_at", "model"]
+BLOCK_LEAVES = ["type", "text", "name", "input.query", "input.token", "input.page"]
+INNER_LEAVES = ["type", "text", "name", "input.token"]
+ATTACHMENT_LEAVES = ["file_name", "size", "private_runtime_url"]
+
+
+@query(nested.table_sql("(SELECT *, CAST([] AS INTEGER[]) AS ordinals FROM records)", "r", RECORD_LEAVES))
+def p5_record_table(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.pivot_table(table(spark, sf, "raw_export"), "", RECORD_LEAVES)
+
+
+@query(nested.table_sql("(SELECT *, [msg_pos] AS ordinals FROM messages)", "m", MESSAGE_LEAVES, "json_type(m) = 'OBJECT'"))
 def p5_message_table(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.pivot_table(nested.flatten(table(spark, sf, "raw_export")), "chat_messages[]", ["uuid", "sender", "text", "created_at", "model"])
+    return nested.pivot_table(table(spark, sf, "raw_export"), "chat_messages[]", MESSAGE_LEAVES)
 
 
-@query()
+@query(nested.table_sql("blocks", "x", BLOCK_LEAVES, "branch = 'content' AND len(ordinals) = 2"))
+def p5_block_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The content blocks of messages and their tool inputs; blocks inside blocks are a table of their own at each depth."""
+    return nested.pivot_table(table(spark, sf, "raw_export"), "chat_messages[].content[]", BLOCK_LEAVES)
+
+
+@query(nested.table_sql("blocks", "x", INNER_LEAVES, "branch = 'content' AND len(ordinals) = 3"))
+def p5_inner_block_table(spark: SparkSession, sf: str) -> DataFrame:
+    return nested.pivot_table(table(spark, sf, "raw_export"), "chat_messages[].content[].content[]", INNER_LEAVES)
+
+
+@query(nested.table_sql("blocks", "x", ATTACHMENT_LEAVES, "branch = 'attachments' AND len(ordinals) = 2"))
 def p5_attachment_table(spark: SparkSession, sf: str) -> DataFrame:
-    return nested.pivot_table(nested.flatten(table(spark, sf, "raw_export")), "chat_messages[].attachments[]", ["file_name", "size", "private_runtime_url"])
+    return nested.pivot_table(table(spark, sf, "raw_export"), "chat_messages[].attachments[]", ATTACHMENT_LEAVES)
 
 
 # ---- canonical stream, hashes and integrity
