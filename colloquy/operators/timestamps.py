@@ -1,12 +1,15 @@
 """Timestamps of many formats, precisions and zones as one instant in UTC.
 
 A value is read into a wall-clock time and, if it has one, a zone. A stated offset, abbreviation
-or zone gives the instant; a value without zone is aligned with the offset history of the
-account's zone: of all offsets this zone ever had around that time, the ones are kept whose instant
-shows the same wall-clock time again. One offset left is a result; none (skipped by a clock change) or
-two (repeated by one) are not. :func:`estimate_zones` applies the same alignment to accounts without a
-zone: each known offset history is scored by its violations (skipped times, and instants after the
-row was received), and the history with the fewest is chosen if no other has as few.
+or zone gives the instant; a value without zone is aligned with the offset histories that its account may have:
+of all offsets a history has around that time, the ones are kept whose instant shows the same wall-clock time again. One
+instant left over all histories is a result; none (skipped by a clock change) or two (repeated by one, or histories
+that disagree) are not.
+
+An account with a zone has one history. For the others :func:`estimate_histories` aligns all values of the account with
+each known history and counts its violations: wall-clock times that the history skips, instants after the row was received, neighbours
+in a sequence that change places, and stated offsets that the history doesn't have at that instant. The histories with the fewest
+violations are kept, and a value is converted where they agree, so two zones with one history need not be told apart.
 
 Defined results: null, blank, impossible and incomplete values, dates alone, times alone, unknown zones and
 instants outside the range give null; seconds left out are 0; digits finer than microseconds are rounded half up.
@@ -15,14 +18,14 @@ instants outside the range give null; seconds left out are 0; digits finer than
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -160,11 +163,11 @@ def wall_clock(text: str, order: str | None) -> tuple[list[datetime], int, str |
 OFFSET = re.compile(r"(?:UTC|GMT)?([+\-−])(\d{1,2})(?::?(\d{2}))?(?:\s*\[([^\]]+)\])?")
 
 
-def instants(wall: datetime, zone: str | None, account_zone: str | None) -> list[int]:
+def instants(wall: datetime, zone: str | None, histories: Sequence[str]) -> list[int]:
     """The instants, to the second in microseconds, that a wall-clock time and a zone's text can mean."""
     at = micros(wall.replace(tzinfo=timezone.utc))
     if not zone:
-        return aligned(wall, account_zone) if account_zone else []
+        return sorted({i for name in histories for i in aligned(wall, name)})
     if m := OFFSET.fullmatch(zone):
         hours, minutes = int(m[2]), int(m[3] or 0)
         if hours > 18 or minutes > 59:
@@ -179,8 +182,12 @@ def instants(wall: datetime, zone: str | None, account_zone: str | None) -> list
     return aligned(wall, name) if "/" in name else []
 
 
-def utc_micros(text: str | None, account_zone: str | None = None, order: str | None = None) -> int | None:
-    """The one instant that a value names, or None."""
+def skipped_by_any(walls: Sequence[datetime], histories: Sequence[str]) -> bool:
+    return any(not aligned(w, name) for w in walls for name in histories)
+
+
+def utc_micros(text: str | None, histories: str | Sequence[str] | None = None, order: str | None = None) -> int | None:
+    """The one instant that a value names, or None; ``histories`` are the zones that its account may have."""
     if text is None:
         return None
     text = " ".join(text.split())
@@ -190,33 +197,40 @@ def utc_micros(text: str | None, account_zone: str | None = None, order: str | N
     if read is None:
         return None
     walls, extra, zone = read
-    found = {i + extra for wall in walls for i in instants(wall, zone, account_zone)}
+    names = [histories] if isinstance(histories, str) else list(histories or ())
+    if not zone and len(names) > 1 and skipped_by_any(walls, names):
+        return None
+    found = {i + extra for wall in walls for i in instants(wall, zone, names)}
     found = {i for i in found if LOW <= i < HIGH} if len(found) > 1 else found
     instant = found.pop() if len(found) == 1 else None
     return instant if instant is not None and LOW <= instant < HIGH else None
 
 
 @F.pandas_udf(LongType())
-def utc_micros_udf(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.Series:
+def utc_micros_udf(text: pd.Series, histories: pd.Series, order: pd.Series) -> pd.Series:
     none = lambda x: x if isinstance(x, str) else None
-    return pd.Series([utc_micros(none(t), none(z), none(o)) for t, z, o in zip(text, zone, order)], dtype="Int64")
+    return pd.Series([utc_micros(none(t), [] if h is None else [x for x in h if x], none(o)) for t, h, o in zip(text, histories, order)], dtype="Int64")
 
 
 def export_times(exports: DataFrame) -> DataFrame:
-    """uuid, account and created_at of each chat record, as their literals."""
+    """uuid, account and created_at of each chat record, as their literals, with the time of receipt of its file."""
     rows = nested.objects(exports, wanted=r"(?:^|[.\]])(?:uuid|account\.user_id|created_at)$").where("table_path = ''")
     leaf = lambda name: F.col("leaves")[name]
-    return rows.select(F.col("conv_uuid").alias("rec_key"), leaf("account.user_id").alias("user"), leaf("created_at").alias("value"))
+    return rows.select("path", F.col("conv_uuid").alias("rec_key"), leaf("account.user_id").alias("user"), leaf("created_at").alias("value"))
+
 
+def stated_histories(accounts: DataFrame) -> DataFrame:
+    """account_id, histories and date order: the one zone of each account that has one. accounts is one row per account."""
+    zone = F.trim("tz_name")
+    return accounts.select("account_id", F.when(zone != "", F.array(zone)).alias("histories"), F.lower(F.trim("date_order")).alias("date_order")).dropDuplicates(["account_id"])
 
-def normalised(rows: DataFrame, accounts: DataFrame) -> DataFrame:
-    """rows: src, rec_key, account_id, value. Adds the zone and date order of the account and utc_us; null where there is no one instant.
 
-    accounts is one row per account; Spark broadcasts it only while its measured size is below the session's threshold.
+def converted(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows: src, rec_key, account_id, value; known: account_id, histories, date_order. Adds utc_us, null where there is no one instant.
+
+    ``known`` has one row per account; Spark broadcasts it only while its measured size is below the session's threshold.
     """
-    known = accounts.select("account_id", F.trim("tz_name").alias("tz_name"), F.lower(F.trim("date_order")).alias("date_order")).dropDuplicates(["account_id"])
-    joined = rows.join(known, "account_id", "left")
-    return joined.withColumn("utc_us", utc_micros_udf("value", "tz_name", "date_order"))
+    return rows.join(known, "account_id", "left").withColumn("utc_us", utc_micros_udf("value", "histories", "date_order"))
 
 
 def gather(exports: DataFrame, activity: DataFrame, headers: DataFrame) -> DataFrame:
@@ -234,43 +248,95 @@ def plain_double(name: str) -> Column:
 
 
 def found(exports: DataFrame, activity: DataFrame, headers: DataFrame, accounts: DataFrame) -> DataFrame:
-    rows = normalised(gather(exports, activity, headers), accounts)
+    """Records whose value names one instant; an account without a stated zone has no history here, so its zoneless values name none."""
+    rows = converted(gather(exports, activity, headers), stated_histories(accounts))
     return rows.where("utc_us is not null").select("src", "rec_key", "utc_us").distinct()
 
 
-def estimate_zones(activity: DataFrame, accounts: DataFrame, keep_ties: bool = False) -> DataFrame:
-    """For accounts without a zone, the offset history that fits their zoneless values with the fewest violations.
+# ---- accounts without a zone
+
+
+def observed(exports: DataFrame, activity: DataFrame) -> DataFrame:
+    """account_id, value, received_us of the records that have an account, once each."""
+    files = exports.select("path", F.unix_micros(F.to_timestamp("received_at")).alias("received_us"))
+    claude = export_times(exports).join(files, "path").select(F.lit("claude").alias("src"), "rec_key", F.expr("try_cast(trim(user) as bigint)").alias("account_id"), "value", "received_us")
+    gemini = activity.select(F.lit("gemini").alias("src"), F.col("activity_id").cast("string").alias("rec_key"), "account_id", F.col("time_text").alias("value"), F.unix_micros(F.to_timestamp("received_at")).alias("received_us"))
+    rows = claude.unionByName(gemini).where("rec_key is not null and account_id is not null and value is not null")
+    return rows.groupBy("src", "rec_key", "account_id", "value").agg(F.min("received_us").alias("received_us"))
+
 
-    Candidates are the distinct zones of ``accounts``, at most ``candidate_bound`` of them. A violation is a time
-    that the zone skips, or an instant later than the row was received. The violations are summed by
-    account and zone before anything is compared, so a hot account costs one row per zone and task.
+def offset_stated(wall: datetime, zone: str) -> tuple[int, int] | None:
+    """Instant (microseconds) and offset (seconds) of a value with an offset or abbreviation; None for UTC, which servers write for any zone."""
+    at = micros(wall.replace(tzinfo=timezone.utc))
+    got = instants(wall, zone, ())
+    if len(got) != 1 or got[0] == at:
+        return None
+    return got[0], (at - got[0]) // 10**6
+
+
+def offset_at(instant: int, name: str) -> int:
+    return int((EPOCH + timedelta(microseconds=instant)).astimezone(zone_named(name)).utcoffset().total_seconds())
+
+
+def violations(text: str, order: str | None, received: int | None, before: str | None, names: Sequence[str]) -> list[int] | None:
+    """What a value has against each history; None if it says nothing. ``before``: the value that precedes it in a sequence."""
+    read = wall_clock(" ".join(text.split()), order)
+    if read is None or not read[0]:
+        return None
+    walls, extra, zone = read
+    if zone:
+        stated = offset_stated(walls[0], zone)
+        return [int(offset_at(stated[0], n) != stated[1]) for n in names] if stated and len(walls) == 1 else None
+    out = []
+    for name in names:
+        own = [i for w in walls for i in aligned(w, name)]
+        bad = int(not own or received is not None and min(own) + extra > received)
+        if before is not None and len(own) == 1:
+            earlier = utc_micros(before, name, order)
+            bad += int(earlier is not None and earlier > own[0] + extra)
+        out.append(bad)
+    return out
+
+
+def estimate_histories(rows: DataFrame, accounts: DataFrame, sequence: str | None = None) -> DataFrame:
+    """account_id, histories (those with the fewest violations), violations, values_seen, date_order of each account without a zone.
+
+    rows: account_id, value, received_us and, if ``sequence`` names one, a column in whose order the instants of an account should rise.
+    The candidates are the zones of ``accounts``, of which there are no more than zones in the world. Violations are
+    summed by account and history in each task before anything is exchanged, so a hot account costs one row per history and task; only a
+    sequence brings the values of an account together, sorted.
     """
-    candidate_bound = 1000
-    zones = accounts.select(F.trim("tz_name").alias("zone")).where("zone is not null").distinct().limit(candidate_bound + 1).toPandas()["zone"].tolist()
-    if len(zones) > candidate_bound:
-        raise ValueError(f"more than {candidate_bound} zones in the account table")
-    zones.sort()
-    unknown = accounts.where("tz_name is null").select("account_id", "date_order")
-    rows = activity.dropDuplicates(["activity_id"]).join(unknown, "account_id").select("account_id", "time_text", "date_order", F.unix_micros(F.to_timestamp("received_at")).alias("received_us"))
+    zone = F.trim("tz_name")
+    names = accounts.where(zone != "").agg(F.array_sort(F.collect_set(zone)).alias("zones"))
+    unknown = accounts.where(F.coalesce(zone, F.lit("")) == "").select("account_id", F.lower(F.trim("date_order")).alias("date_order")).dropDuplicates(["account_id"])
+    before = F.lag("value").over(Window.partitionBy("account_id").orderBy(sequence)) if sequence else F.lit(None).cast("string")
+    seen = rows.join(unknown, "account_id").select("account_id", "value", "date_order", "received_us", before.alias("before"), names.scalar().alias("zones"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            score: dict[tuple[int, str], list[int]] = {}
-            for account, text, order, received in frame.itertuples(index=False):
-                if not isinstance(text, str) or NUMBER.fullmatch(text.strip()):
-                    continue
-                read = wall_clock(" ".join(text.split()), order if isinstance(order, str) else None)
-                if read is None or read[2] or not read[0]:
+            total: dict[int, list] = {}
+            for account, text, order, received, earlier, zones in frame.itertuples(index=False):
+                zones = [z for z in zones if zone_named(z)] if zones is not None else []
+                bad = violations(text, order if isinstance(order, str) else None, None if pd.isna(received) else int(received), earlier if isinstance(earlier, str) else None, zones)
+                if bad is None or not zones:
                     continue
-                for zone in zones:
-                    instants_ = aligned(read[0][0], zone)
-                    bad = not instants_ or (received == received and received is not None and min(instants_) > received)
-                    s = score.setdefault((account, zone), [0, 0])
-                    s[0] += 1
-                    s[1] += bad
-            yield pd.DataFrame([(a, z, n, b) for (a, z), (n, b) in score.items()], columns=["account_id", "zone", "n", "bad"])
-
-    scored = rows.mapInPandas(run, "account_id long, zone string, n long, bad long").groupBy("account_id", "zone").agg(F.sum("n").alias("values_seen"), F.sum("bad").alias("violations"))
-    best = scored.groupBy("account_id").agg(F.min(F.struct("violations", "zone")).alias("best"), F.max("values_seen").alias("values_seen"), F.collect_list("violations").alias("all"))
-    out = best.select("account_id", F.col("best.zone").alias("zone"), F.col("best.violations").alias("violations"), "values_seen", F.size(F.filter("all", lambda v: v == F.col("best.violations"))).alias("ties"))
-    return out if keep_ties else out.withColumn("zone", F.when(F.col("ties") == 1, F.col("zone")))
+                if account in total:
+                    t = total[account]
+                    t[0] += 1
+                    t[1] = [x + y for x, y in zip(t[1], bad)]
+                else:
+                    total[account] = [1, bad, zones]
+            yield pd.DataFrame([(a, z, n, b) for a, (n, bad, zones) in total.items() for z, b in zip(zones, bad)], columns=["account_id", "zone", "n", "bad"])
+
+    scored = seen.mapInPandas(run, "account_id long, zone string, n long, bad long").groupBy("account_id", "zone").agg(F.sum("n").alias("values_seen"), F.sum("bad").alias("violations"))
+    by_score = scored.groupBy("account_id", "violations").agg(F.array_sort(F.collect_list("zone")).alias("histories"), F.max("values_seen").alias("values_seen"))
+    best = by_score.groupBy("account_id").agg(F.min(F.struct("violations", "histories", "values_seen")).alias("b"))
+    return best.join(unknown, "account_id").select("account_id", "b.histories", "b.violations", "b.values_seen", "date_order")
+
+
+def estimated(exports: DataFrame, activity: DataFrame, headers: DataFrame, accounts: DataFrame) -> DataFrame:
+    """src, rec_key, utc_us of the zoneless values of accounts without a zone that all best histories put at one instant."""
+    known = estimate_histories(observed(exports, activity), accounts).select("account_id", "histories", "date_order")
+    none = F.array().cast("array<string>")
+    rows = gather(exports, activity, headers).join(known, "account_id").withColumn("utc_us", utc_micros_udf("value", "histories", "date_order")).withColumn("stated", utc_micros_udf("value", none, "date_order"))
+    return rows.where("utc_us is not null and stated is null").select("src", "rec_key", "utc_us").distinct()

@@ -46,7 +46,14 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def p4_zone_estimates(spark: SparkSession, sf: str) -> DataFrame:
-    return timestamps.estimate_zones(table(spark, sf, "gemini_activity"), table(spark, sf, "account_profile"))
+    """The offset histories that fit the values of each account without a zone best."""
+    return timestamps.estimate_histories(timestamps.observed(table(spark, sf, "raw_export"), table(spark, sf, "gemini_activity")), table(spark, sf, "account_profile"))
+
+
+@query()
+def p4_estimated(spark: SparkSession, sf: str) -> DataFrame:
+    """What those histories make of the accounts' values without zone. No cases: ``p4_found`` reads only stated zones."""
+    return timestamps.estimated(table(spark, sf, "raw_export"), table(spark, sf, "gemini_activity"), table(spark, sf, "conversation_header"), table(spark, sf, "account_profile"))
 
 
 @query(nested.FOUND_SQL)
