@@ -7,8 +7,8 @@ strongest kind in the last half of the piece. The next piece steps back by the o
 limit, the step back is shortened as far as it takes to reach one; only a run longer than the limit is cut hard.
 
 Defined results: null and empty texts and texts within the limit are one piece; a null overlap is 0; an overlap of the
-budget or more is taken as one token less than the budget; no limit means one piece; a limit below one token is an error.
-Repeated messages are split once.
+budget or more is taken as one token less than the budget; no limit means one piece; a report's limit below one token is none, and an error where it is given directly.
+Repeated messages are split once. However many pieces a text has, they are made and handed on a few at a time.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHARS = 4
-# Budgets of the checkpoint profiles (fixed values).
-PROFILES = {"lite": 4000, "standard": 16000, "full": 64000}
+from colloquy.functions import text as T
+
+CHARS = T.CHARS_PER_TOKEN
+#: Characters of pieces handed on at once; a batch holds at least one piece.
+BATCH_CHARS = 4_000_000
 
 KINDS = [re.compile(p) for p in (r"\n\s*\n\s*", r"\n\s*", r"[.!?…]+[\"'»”’)\]]*\s+|[。！？]+", r"\s+|[。！？]")]
 
@@ -47,14 +49,15 @@ def under(places: list[int], low: int, limit: int) -> int | None:
     return places[i - 1] if i and places[i - 1] > low else None
 
 
-def pieces(text: str | None, budget: int | None, overlap: int | None = None) -> list[tuple[int, int, bool]]:
+def pieces(text: str | None, budget: int | None, overlap: int | None = None) -> Iterator[tuple[int, int, bool]]:
     """Start, end and whether the end is natural, of each piece."""
     if budget is None or not text or len(text) <= budget * CHARS:
-        return [(0, len(text or ""), True)]
+        yield 0, len(text or ""), True
+        return
     if budget < 1:
         raise ValueError("the limit is at least one token")
     size, back = budget * CHARS, min(max(overlap or 0, 0), budget - 1) * CHARS
-    kinds, out, start, done = boundaries(text), [], 0, 0
+    kinds, start, done = boundaries(text), 0, 0
     while len(text) - start > size:
         end = None
         for places in kinds[:-1]:
@@ -67,31 +70,32 @@ def pieces(text: str | None, budget: int | None, overlap: int | None = None) ->
                 start, end = following - size, following
         natural = end is not None
         end = end or max(start + size, done + 1)
-        out.append((start, end, natural))
+        yield start, end, natural
         start, done = max(end - back, start + 1), end
     if done < len(text):
-        out.append((start, len(text), True))
-    return out
+        yield start, len(text), True
 
 
 def limits(reports: DataFrame) -> DataFrame:
     """conv_id, budget and overlap of the latest report (by created_at, then report_id) of each conversation that has a limit."""
     latest = reports.where("conv_id is not null").groupBy("conv_id").agg(F.max(F.struct("created_at", "report_id", "budget_tokens", "overlap_tokens", "profile")).alias("r"))
     profile: Column = F.lit(None).cast("int")
-    for name, budget in PROFILES.items():
+    for name, budget in T.PROFILES.items():
         profile = F.when(F.lower(F.trim("r.profile")) == name, budget).otherwise(profile)
-    return latest.select("conv_id", F.coalesce("r.budget_tokens", profile).alias("budget"), F.coalesce("r.overlap_tokens", F.lit(0)).alias("overlap")).where("budget is not null")
+    return latest.select("conv_id", F.coalesce("r.budget_tokens", profile).alias("budget"), F.coalesce("r.overlap_tokens", F.lit(0)).alias("overlap")).where("budget >= 1")
 
 
 def oversized(messages: DataFrame, reports: DataFrame) -> DataFrame:
     """msg_id, text, budget and overlap of each message above the budget of its conversation.
 
-    Only texts above the smallest budget of all are moved at all; the rest ends at the scan.
+    Which these are is found from ids and lengths alone. Then the texts above the smallest budget of all move once, by msg_id, so a
+    conversation with a third of all messages is spread; the rest ends at the scan.
     """
     bounds = limits(reports)
     tokens = F.ceil(F.length("text") / CHARS)
-    large = messages.select("msg_id", "conv_id", "text").where(tokens > bounds.agg(F.min("budget")).scalar())
-    return large.join(bounds, "conv_id").where(tokens > F.col("budget")).dropDuplicates(["msg_id"])
+    large = messages.where(tokens > bounds.agg(F.min("budget")).scalar())
+    own = large.select("msg_id", "conv_id", tokens.alias("tokens")).join(bounds, "conv_id").where("tokens > budget").select("msg_id", "budget", "overlap").dropDuplicates(["msg_id"])
+    return large.select("msg_id", "text").join(own, "msg_id").dropDuplicates(["msg_id"]).select("msg_id", "text", "budget", "overlap")
 
 
 PIECES = "msg_id long, piece int, start int, end int, natural boolean, text string"
@@ -102,11 +106,20 @@ def split(rows: DataFrame, with_text: bool = True) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for batch in batches:
             for msg_id, text, budget, overlap in zip(*(c.to_pylist() for c in batch.columns)):
-                cuts = pieces(text, budget, overlap)
-                rows = [(msg_id, i, s, e, n, text[s:e] if with_text else None) for i, (s, e, n) in enumerate(cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["msg_id", "piece", "start", "end", "natural", "text"])
+                for i, (s, e, n) in enumerate(pieces(text, budget, overlap)):
+                    rows.append((msg_id, i, s, e, n, (text or "")[s:e] if with_text else None))
+                    held += e - s if with_text else 64
+                    if held >= BATCH_CHARS:
+                        yield arrow(rows)
+                        rows, held = [], 0
+        yield arrow(rows)
+
+    def arrow(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["msg_id", "piece", "start", "end", "natural", "text"])
 
     return rows.select("msg_id", "text", "budget", "overlap").mapInArrow(run, PIECES)
 
@@ -122,7 +135,7 @@ WITH latest AS (
 ), bounds AS (
   SELECT conv_id, coalesce(budget_tokens, CASE lower(trim(profile)) WHEN 'lite' THEN 4000 WHEN 'standard' THEN 16000 WHEN 'full' THEN 64000 END) AS budget FROM latest WHERE n = 1
 ), large AS (
-  SELECT DISTINCT msg_id, text, budget FROM canonical_messages JOIN bounds USING (conv_id) WHERE ceil(length(text) / 4.0) > budget
+  SELECT DISTINCT msg_id, text, budget FROM canonical_messages JOIN bounds USING (conv_id) WHERE budget >= 1 AND ceil(length(text) / 4.0) > budget
 )
 SELECT msg_id, CASE WHEN list_max([length(x) FOR x IN regexp_split_to_array(text, '[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}\\x{0b}。！？]')]) > 4 * budget THEN 'forced' ELSE 'natural' END AS cut FROM large
 """
