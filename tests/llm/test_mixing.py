@@ -53,6 +53,24 @@ def test_a_source_without_slot_is_in_the_mix(spark):
     assert {u.slot for u in uses if u.source == "tiny"} == {9} and {u.doc_id for u in uses if u.source == "tiny"} == {1000, 1001, 1002}
 
 
+def test_the_smallest_share_gets_a_slot():
+    rows = lambda *w: X.plan([{"source": str(i), "weight": x, "cap": 1, "tokens": 10**9, "documents": 1} for i, x in enumerate(w)], wanted=10**8)
+    for planned, slots in ((rows(1.0, 1.0), X.BLOCKS), (rows(1e5, 1.0), 100_001), (rows(1e9, 1.0), X.MOST_BLOCKS)):
+        assert X.slots_for(planned) == slots
+    planned = rows(70_000.0, 29_998.0, 1.0, 1.0)
+    got = {s for s, _ in X.schedule({s["source"]: s["target"] for s in planned}, X.slots_for(planned))}
+    assert got == {"0", "1", "2", "3"}
+
+
+def test_a_tiny_share_keeps_its_documents(spark):
+    documents = spark.createDataFrame([(i, f"word number {i} and a few more", "big") for i in range(300)] + [(1000 + i, "word", "tiny") for i in range(3)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 1e6, 1), ("tiny", 1.0, 1)], "source string, target_weight double, max_repeats int")
+    uses = X.mix(documents, targets, wanted=3_000_000).collect()
+    assert {u.doc_id for u in uses if u.source == "tiny"} == {1000, 1001, 1002} and len(uses) == 303
+    short = {r.source: r.shortfall_tokens for r in X.shares(documents, targets, wanted=3_000_000).collect()}
+    assert short["big"] > 2_990_000 and short["tiny"] == 0
+
+
 def test_empty(spark):
     documents = spark.createDataFrame([], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_weight double, max_repeats int")
