@@ -4,13 +4,13 @@ The rows are an event log: rows with the same conversation and index are version
 latest received, then the largest row id, holds (a create, its edits and its retries). The folded
 turns are ordered by index, read for their speaker, and validated.
 
-No conversation is ever collected. Turns are numbered in two levels: within blocks of ``BLOCK`` indices,
+No conversation is ever collected. Turns are numbered in two levels: within blocks of indices,
 and over the block counts, so a conversation of any size is spread over its blocks. Alternation needs no
 neighbour either: a kept conversation has the user at every even place.
 
 Defined results: a conversation with a null index, numbering not consecutive from 0 or 1, a holding row
 without speaker, with an unknown one or with two that disagree is dropped as a whole, and so is one whose
-user and assistant turns are blank, don't alternate, don't begin with user or don't end with assistant.
+user and assistant turns are blank, don't alternate, don't begin with user or don't end with assistant, or one of whose holding rows has no row_id.
 Rows without conversation are dropped. Repeated rows fold into one; empty tables give no rows.
 """
 
@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: A block is 4096 indices.
+BLOCK_BITS = 12
 USER, ASSISTANT, ASIDE = "user", "assistant", "aside"
 #: Anything but white space, separators, and control and format characters.
 NON_BLANK = r"[^\s\p{Z}\p{Cc}\p{Cf}]"
@@ -41,15 +42,19 @@ def folded(rows: DataFrame) -> DataFrame:
 
 
 def rebuilt(rows: DataFrame) -> DataFrame:
-    """conv_id, pos, role, row_id of every turn of each whole conversation."""
-    turns = folded(rows).withColumn("block", F.floor(F.coalesce(F.col("msg_index"), F.lit(0)) / BLOCK)).withColumn("turn", F.col("said").isin(USER, ASSISTANT).cast("int"))
+    """conv_id, pos, role, row_id of every turn of each whole conversation.
+
+    The numbered turns are used twice, for the blocks' figures and for the result. Both uses read the same columns, so Spark makes
+    the two exchanges behind them once.
+    """
+    turns = folded(rows).withColumn("block", F.shiftright(F.coalesce(F.col("msg_index"), F.lit(0)), BLOCK_BITS)).withColumn("turn", F.col("said").isin(USER, ASSISTANT).cast("int"))
     in_block = Window.partitionBy("conv_id", "block").orderBy("msg_index")
     turns = turns.withColumn("at", F.sum("turn").over(in_block) - F.col("turn"))
     off = lambda parity: F.sum(F.when((F.col("turn") == 1) & ((F.col("said") == USER) != ((F.col("at") + parity) % 2 == 0)), 1).otherwise(0))
     blocks = turns.groupBy("conv_id", "block").agg(
         F.count("*").alias("n"), F.sum("turn").alias("turns"), F.count("msg_index").alias("indexed"), F.min("msg_index").alias("low"), F.max("msg_index").alias("high"),
         F.sum((F.col("said") == "?").cast("int")).alias("unclear"), F.sum((F.col("blank") & (F.col("turn") == 1)).cast("int")).alias("blanks"),
-        off(0).alias("off_even"), off(1).alias("off_odd"),
+        off(0).alias("off_even"), off(1).alias("off_odd"), F.count("row_id").alias("rows"),
     )
     before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.partitionBy("conv_id")
@@ -58,11 +63,11 @@ def rebuilt(rows: DataFrame) -> DataFrame:
     first = F.min("low").over(everywhere)
     blocks = blocks.withColumn(
         "whole",
-        (total("n") == total("indexed")) & first.isin(0, 1) & (F.max("high").over(everywhere) - first + 1 == total("n")) & (total("unclear") == 0) & (total("blanks") == 0)
+        (total("n") == total("indexed")) & (total("rows") == total("n")) & first.isin(0, 1) & (F.max("high").over(everywhere) - first + 1 == total("n")) & (total("unclear") == 0) & (total("blanks") == 0)
         & (total(F.when(F.col("start") % 2 == 0, F.col("off_even")).otherwise(F.col("off_odd"))) == 0) & (total("turns") > 0) & (total("turns") % 2 == 0),
     )
     kept = blocks.where("whole").select("conv_id", "block", "start")
-    return turns.where("turn = 1").join(kept, ["conv_id", "block"]).select("conv_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), F.col("said").alias("role"), "row_id")
+    return turns.where("turn = 1 and not blank").join(kept, ["conv_id", "block"]).select("conv_id", (F.col("start") + F.col("at")).cast("int").alias("pos"), F.col("said").alias("role"), "row_id")
 
 
 FOUND_SQL = r"""

@@ -36,7 +36,7 @@ def brute(rows):
 
 
 def test_random_logs(spark, monkeypatch):
-    monkeypatch.setattr(X, "BLOCK", 3)
+    monkeypatch.setattr(X, "BLOCK_BITS", 1)
     rng, rows, start = random.Random(7), [], datetime(2025, 1, 1)
     for conv in range(400):
         n, first, p = rng.randint(1, 9), rng.choice([0, 0, 1, 2]) if rng.random() < 0.3 else 0, rng.choice([0, 0, 0.08])
@@ -61,3 +61,12 @@ def test_empty_table_and_hot_conversation(spark):
     rows = [(i, 1, i, ("user", "assistant")[i % 2], None, "t", start, 0) for i in range(20_000)]
     got = X.rebuilt(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.pos for r in got) == list(range(20_000))
+
+
+def test_the_log_is_read_and_folded_once(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id as row_id", "id div 4 as conv_id", "cast(id % 4 as int) as msg_index", "if(id % 2 = 0, 'user', 'assistant') as role", "'' as sender", "'x' as text", "timestamp_ntz'2025-01-01 00:00:00' as received_at")
+    rows.write.parquet(str(tmp_path / "rows"))
+    frame = X.rebuilt(spark.read.parquet(str(tmp_path / "rows")))
+    assert len(frame.collect()) == 1000
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("FileScan") == 1
