@@ -1,19 +1,20 @@
 """Personal information in free text.
 
-A semi-Markov conditional random field over whole spans. Candidate segments of the five types are laid over a text;
-each is scored by features of the whole span: its form, the words that lead to it or follow it, the likeness of its words
-to listed names, and what speaks against it. Everything else is one unlabelled segment of score 0. Bounded-entity dynamic programming
-(no segment is longer than ``LONGEST`` characters) then chooses the boundaries and types with the highest sum, so
-a name inside an address or an e-mail address gives way to it.
+A semi-Markov conditional random field over whole spans (:mod:`colloquy.llm.crf`). Candidate segments of the five types are laid over a text;
+each is scored by features of the whole span: its form, the cues in its sentence that lead to it or follow it, the likeness of its words
+to listed names, and what speaks against it. Candidates that look wrong stay in the lattice; only the weights decide, and decoding
+chooses boundaries and types jointly, so a name inside an address or an e-mail address gives way to it.
 
-There are no labelled rows, so the weights are set by hand; they are parameters. The likeness of a word to given and
-family names is learned from the name list, by the beginnings and endings that several listed names share.
+The weights are fitted by ``python -m colloquy.llm.pii_train`` on a bounded sample of sentences with planted values and look-alikes
+(``pii_train.SAMPLES`` of them); they are the table :data:`colloquy.llm.weights.PII`. The likeness of a word to given and
+family names is learned from the name list, by the beginnings and endings that several listed names share. Spans without any evidence
+(no form, no title, no introduction, no likeness) aren't built: the bias of their label alone is below every transition.
 
 HTML is read as it shows: scripts, styles, comments and attributes are left out, inline markup joins, line-break and block tags
 part, and character references are decoded.
 
-Defined results: null and empty texts have no values; a value that occurs twice in a record is one row; white space in a value is
-one blank; an empty name list leaves the names that follow a title or an introduction.
+Defined results: null and empty texts have no values; a value that occurs twice in a record is one row; records delivered twice give their rows once;
+white space in a value is one blank; an empty name list leaves the names that follow a title or an introduction; neither values nor names have a greatest length.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import html
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -30,19 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.common import python_partitions
+from colloquy.llm import crf, weights
+from colloquy.llm.crf import Candidate
 
-LONGEST = 160
-#: No part of a name has more letters.
-LONGEST_WORD = 40
 #: Letters that may stand between a shared beginning and a shared ending; one after a beginning of three letters.
 LINK = 2
-#: At most so many listed names are shipped to the workers.
-NAME_BOUND = 100_000
+#: Words whose likeness a worker remembers; more only cost time.
+MEMORY = 300_000
 
 # ---- visible text of markup
 
 HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|head|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-BREAK = re.compile(r"<br\b[^>]*>", re.I)
+LINE_BREAK = re.compile(r"<br\b[^>]*>", re.I)
 BLOCK = re.compile(r"</?(?:p|div|li|ul|ol|tr|td|th|table|tbody|thead|section|article|blockquote|pre|h[1-6]|hr|header|footer|dl|dt|dd|figure|form|main|nav|aside)\b[^>]*>", re.I)
 MARKUP = re.compile(r"</?[a-zA-Z!?](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>")
 SPACE = re.compile(r"\s+")
@@ -54,7 +54,7 @@ def visible(markup: str | None) -> str:
         return ""
     text = SPACE.sub(" ", HIDDEN.sub(" ", markup) if "<" in markup else markup)
     if "<" in text:
-        text = MARKUP.sub("", BLOCK.sub("\x00", BREAK.sub("\x01", text)))
+        text = MARKUP.sub("", BLOCK.sub("\x00", LINE_BREAK.sub("\x01", text)))
     text = html.unescape(text) if "&" in text else text
     return text.replace("\xa0", " ").replace("\x01", "\n").replace("\x00", "\n\n")
 
@@ -69,6 +69,7 @@ class Names:
     given: frozenset[str]
     family: frozenset[str]
     parts: dict[str, tuple[frozenset[str], frozenset[str]]]
+    longest: int
 
     SHARED = 3
 
@@ -85,26 +86,25 @@ class Names:
                 starts.update(n[:i] for i in range(3, len(n) - 1))
                 ends.update(n[i:] for i in range(3, len(n) - 1))
             parts[kind] = (frozenset(s for s, k in starts.items() if k >= Names.SHARED), frozenset(e for e, k in ends.items() if k >= Names.SHARED))
-        return Names(frozenset(by["given"]), frozenset(by["family"]), parts)
+        longest = max((len(x) for pair in parts.values() for side in pair for x in side), default=0)
+        return Names(frozenset(by["given"]), frozenset(by["family"]), parts, longest)
 
     def like(self, word: str) -> int:
         """1 for a given name, 2 for a family name, 3 for both; listed, or composed of shared parts."""
-        if len(word) > LONGEST_WORD:
-            return 0
         w = word.lower()
         bits = (w in self.given) | (w in self.family) << 1
         if bits or len(w) < 5:
             return bits
         for bit, kind in ((1, "given"), (2, "family")):
             starts, ends = self.parts[kind]
-            if any(w[:i] in starts and any(w[i + k :] in ends for k in range(min(LINK, i - 2) + 1)) for i in range(3, len(w) - 1)):
+            if any(w[:i] in starts and any(w[i + k :] in ends for k in range(min(LINK, i - 2) + 1)) for i in range(3, min(len(w) - 1, self.longest + 1))):
                 bits |= bit
         return bits
 
 
 # ---- candidate segments
 
-S = r"[^\S\n]+"
+S = r"(?:[^\S\n]+)"
 CAP = r"[A-ZÀ-ÖØ-Þ][\w'’-]*"
 TOWN = r"[A-ZÀ-ÖØ-Þ][\w'’]+(?:-[A-ZÀ-ÖØ-Þ]?[\w'’]+)*"
 ZIP = r"(?:(?:[A-Z]{1,2}-)?\d{5}(?:-\d{4})?|\d{4}|[A-Z]{1,2}\d[\dA-Z]?\s?\d[A-Z]{2})(?!\w)"
@@ -126,12 +126,11 @@ PHONE_FORMS = [
     )
 ]
 PHONE_CUE = re.compile(
-    r"(?:\b(?:tel|tél|téléphone|teléfono|telefon\w*|phone|mobile|móvil|portable|handy|cell|fax|call|ring|text|reach|whatsapp|landline|llám\w+|appel\w*|ruf\w*|anruf\w*)\b|\b(?:my|meine|mi|mon) (?:number|nummer|número|numéro)|手机|电话)[^\n]{0,24}$",
-    re.I,
+    r"\b(?:tel|tél|téléphone|teléfono|telefon\w*|phone|mobile|móvil|portable|handy|cell|fax|call|ring|text|reach|whatsapp|landline|llám\w+|appel\w*|ruf\w*|anruf\w*)\b|\b(?:my|meine|mi|mon) (?:number|nummer|número|numéro)|手机|电话", re.I
 )
-PHONE_AFTER = re.compile(r"^[^\n]{0,4}(?:is the (?:landline|mobile|number)|after six|any time)", re.I)
+PHONE_AFTER = re.compile(r"[^\n]{0,4}(?:is the (?:landline|mobile|number)|after six|any time)", re.I)
 AGAINST = re.compile(
-    r"\b(?:sku|order(?: (?:number|no\.?))?|row|rows|of|build|checksum|ticket|version|invoice|run took|took|id|ids|isbn|issn|ean|asin|article|item|serial|part|batch|record|page|line|port|bestellung|bestellnummer|auftrag\w*|rechnung\w*|commande|facture|pedido|factura|referencia|ref)\b[\s.:#=n°º-]*(?:is|ist|lautet|est|es|number|no\.?|nr\.?)?[\s.:#=-]*$",
+    r"\b(?:sku|order(?: (?:number|no\.?))?|row|rows|of|build|checksum|ticket|version|invoice|run took|took|id|ids|isbn|issn|ean|asin|article|item|serial|part|batch|record|page|line|port|bestellung|bestellnummer|auftrag\w*|rechnung\w*|commande|facture|pedido|factura|referencia|ref)\b[\s.:#=n°º-]*(?:is|ist|lautet|est|es|number|no\.?|nr\.?)?[\s.:#=-]*",
     re.I,
 )
 
@@ -145,12 +144,12 @@ IDNUMS = {
     "other": re.compile(r"(?<!\w)(?:\d{17}[\dXx]|\d{7,12}|[A-Z0-9]{2,4}-?[A-Z0-9]*\d[A-Z0-9]{5,12})(?!\w|[.,]\d)"),
 }
 ID_CUE = re.compile(
-    r"(?:social security|\bsocial\b|\bssn\b|national insurance|\bni(?: number| no\.?)|\bnino\b|passport|passeport|pasaporte|(?:reise)?pass(?:nummer|-?nr\.?)|reisepass|\btax(?:payer)?[ -]?(?:id|no\.?|number|file)|\btin\b|\bid (?:card|number|no)|identity (?:card|number)"
+    r"social security|\bsocial\b|\bssn\b|national insurance|\bni(?: number| no\.?)|\bnino\b|passport|passeport|pasaporte|(?:reise)?pass(?:nummer|-?nr\.?)|reisepass|\btax(?:payer)?[ -]?(?:id|no\.?|number|file)|\btin\b|\bid (?:card|number|no)|identity (?:card|number)"
     r"|driv\w+ licen[cs]e|steuer-?\s?id\w*|steuernummer|\bidnr|\b(?:personal)?ausweis\w*|führerschein\w*|sozialversicherung\w*|rentenversicherung\w*|carte (?:nationale )?d['’]identité|pièce d['’]identité|\bcni\b|sécurité sociale|n[°ºo]\.? ?(?:de )?sécu\w*|\bsécu\b|numéro fiscal"
-    r"|\bn\.?i\.?f\b|\bd\.?n\.?i\b|\bn\.?i\.?e\b|documento (?:nacional|de identidad)|seguridad social|身份证|护照|税号|社保)[^\n]{0,48}$",
+    r"|\bn\.?i\.?f\b|\bd\.?n\.?i\b|\bn\.?i\.?e\b|documento (?:nacional|de identidad)|seguridad social|身份证|护照|税号|社保",
     re.I,
 )
-ID_AFTER = re.compile(r"^\s*[,:]?\s*(?:is|ist|es|est) (?:my|mein\w*|mi|mon) (?:passport|tax|social|id\b|pasaporte|ausweis)", re.I)
+ID_AFTER = re.compile(r"\s*[,:]?\s*(?:is|ist|es|est) (?:my|mein\w*|mi|mon) (?:passport|tax|social|id\b|pasaporte|ausweis)", re.I)
 
 SUFFIX = r"(?:Street|Road|Lane|Avenue|Close|Terrace|Drive|Court|Square|Way|Place|Boulevard|Crescent|Gardens|Hill|Row|Walk|Mews|Grove|Parkway|Rd\.?|(?:St|Ave|Ln|Dr|Ct|Sq|Pl|Blvd)(?:\.(?=,|[^\S\n]+in\b|\s*\n))?)(?!\w)"
 UNIT = rf"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|Floor){S}?#?\w{{1,4}}"
@@ -160,7 +159,7 @@ ES_WAY = r"(?:Calle|C/|Plaza|Pza\.?|Avenida|Avda\.?|Av\.|Paseo|Camino|Ronda|Carr
 ADDRESSES = [
     # English
     re.compile(
-        rf"(?<![\w.,-])(?:{UNIT},{S})?\d{{1,5}}[a-zA-Z]?,?{S}(?:{CAP}{S}){{1,3}}?{SUFFIX}(?:,{S}{UNIT})?"
+        rf"(?<![\w.,-])(?:{UNIT},{S})?\d{{1,5}}[a-zA-Z]?,?{S}(?:{CAP}{S})+?{SUFFIX}(?:,{S}{UNIT})?"
         rf"(?:(?:,{S}|{S}in{S}){TOWN}(?:,?{S}{ZIP})?|,?\s*\n\s*{TOWN},?{S}{ZIP}|,?{S}{TOWN}{S}{ZIP}|,{S}{ZIP}{S}{TOWN})?"
     ),
     # French
@@ -189,48 +188,92 @@ STREET_HINTS = [
 
 TITLE = r"(?:Mrs|Mr|Ms|Miss|Mx|Dr|Prof|Sir|Dame|Herrn?|Frau|Fräulein|Hr|Mme|Mmes|Mlle|Monsieur|Madame|Mademoiselle|Me|Sr|Sra|Srta|Dña|Dra|Señora?|Señorita|Don|Doña|Ing|Lic)"
 TITLES = re.compile(rf"(?<![\w.])(?:{TITLE}\b\.?\s+)+(?:(?:med|phil|jur|rer|nat|h\.c)\.\s+)*", re.I)
-BEFORE_TITLE = re.compile(rf"(?:(?<![\w.])(?:{TITLE}\b\.?\s+))$", re.I)
-FRENCH_M = re.compile(r"(?<![\w.])M\.\s+$")
+BEFORE_TITLE = re.compile(rf"(?:(?<![\w.])(?:{TITLE}\b\.?\s+))\Z", re.I)
 FRENCH = re.compile(r"\b(?:est|de la|le|les|je|merci|mettre|en copie|pour|par|vous|nous|et|à|au)\b|[éèêàç]", re.I)
-INITIALS = re.compile(r"(?<![\w.])(?:[A-ZÀ-Þ]\.[^\S\n]?-?){1,3}\s*$")
-INITIALS_AFTER = re.compile(r"^,?[^\S\n]+(?:[A-ZÀ-Þ]\.(?:[^\S\n]?-?[A-ZÀ-Þ]\.)*)(?!\w)")
+INITIALS = re.compile(r"(?<![\w.])(?:[A-ZÀ-Þ]\.[^\S\n]?-?)+\s*\Z")
+INITIALS_AFTER = re.compile(r",?[^\S\n]+(?:[A-ZÀ-Þ]\.(?:[^\S\n]?-?[A-ZÀ-Þ]\.)*)(?!\w)")
 WORDS = re.compile(r"[^\W\d_]{3,}(?:[-'’][^\W\d_]{2,})*")
 INTRODUCED = re.compile(
     r"(?:\b[Mm]y name is|\bI am called|\bSigned:|\bsigned by|\b[Jj]e m['’]appelle|\b[Mm]e llamo|\b[Mm]i nombre es|\b[Ii]ch heiße|\b[Mm]ein Name ist|\bRecipient:|\bContact card:|\bDestinataire\s?:|\bEmpfänger:|\bDestinatario:)\s+"
     rf"(?:(?:{TITLE})\b\.?\s+)*((?:[A-ZÀ-Þ]\.[^\S\n]?)*{CAP}(?:,?[^\S\n]+(?:[A-ZÀ-Þ]\.[^\S\n]?)*{CAP}|(?:[^\S\n]+[A-ZÀ-Þ]\.)+[^\S\n]+{CAP}))"
 )
 
+#: Characters in which what touches a span is looked for: white space, initials, a title.
+NEAREST = 40
+GAP, GAP_END = re.compile(r"\s+\Z"), re.compile(r"\s*\Z")
+COMMA = re.compile(r"(,?)\s+")
+LATER_INITIALS = re.compile(r"(?:[^\S\n]+[A-ZÀ-Þ]\.)+(?!\w)")
+AFTER_TITLE_ONE = re.compile(rf"(?:[A-ZÀ-Þ]\.[^\S\n]?)*{CAP}")
+AFTER_TITLE_MORE = re.compile(rf"(?:[A-ZÀ-Þ]\.[^\S\n]?)*{CAP}(?:[^\S\n]+{CAP})+")
+ADDRESS_CODE = re.compile(ZIP)
+ADDRESS_TOWN = re.compile(rf"(?:,|\bin|\ben|\bà|\n)\s*(?:{ZIP}\s+)?{TOWN}")
+
 #: What a text must hold for a phone number, an identity number and an address.
 LONG_NUMBER = re.compile(r"\d[\d ().\-/\xa0]{5,}\d")
 ID_NUMBER = re.compile(r"\d(?:[ .\-/\xa0]?[\dA-Z]){5}")
 HOUSE_NUMBER = re.compile(r"(?<![\w.])\d{1,5}(?:[ \xa0]?[a-z]\w{0,3})?(?![\w.]\d)")
 
-#: Weights of the whole-span features.
-WEIGHTS = {
-    ("email", "form"): 6.0,
-    ("phone", "form"): 1.0, ("phone", "international"): 2.5, ("phone", "bracketed"): 1.5, ("phone", "cue"): 2.5, ("phone", "alone"): 1.0, ("phone", "against"): -6.0, ("phone", "bias"): -0.5, ("phone", "length"): -6.0,
-    ("idnum", "cue"): 4.0, ("idnum", "form"): 1.0, ("idnum", "bias"): -3.0, ("idnum", "against"): -4.0,
-    ("address", "form"): 3.0, ("address", "town"): 1.0, ("address", "postcode"): 1.0,
-    ("name", "given"): 1.5, ("name", "family"): 1.5, ("name", "title"): 2.0, ("name", "initials"): 1.0, ("name", "introduced"): 1.5, ("name", "capital"): 0.5, ("name", "bias"): -2.0, ("name", "per word"): 0.2,
-}
-
-Segment = tuple[int, int, str, float]
-
-
-def score(kind: str, *features: str) -> float:
-    return sum(WEIGHTS[kind, f] for f in features)
+BREAK = re.compile(r"\n|(?<!\b[Nn][Oo])(?<!\b[Nn][Rr])[.!?]\s+(?=\S*[A-Z])")
+RUN = re.compile(r"\d{4}")
+LEADS = re.compile(r"(?:^|[\n/;|(\"])[^\S\n]*\Z")
+FOLLOWS = re.compile(r"\s*(?:\Z|[\n/;|)\"])")
+ARTICLE = re.compile(r"\b(?:the|der|die|das|den|dem|le|la|les|el|los|las|an?|eine?|une?|un)\s+\Z", re.I)
+#: A text that has none of these has no title, and no introduction.
+TITLE_HINTS = tuple("Mr Ms Miss Mx Dr DR MR MS Prof Sir Dame Herr HERR Frau FRAU Fräulein Hr Mme Mlle Monsieur Madame Mademoiselle Me Sr Dña Señor Don Doña Ing Lic".split())
+INTRODUCED_HINTS = ("name is", "am called", "igned", "appelle", "llamo", "nombre es", "heiße", "Name ist", "Recipient:", "Contact card:", "Destinat", "Empfänger:")
+WEAK_TITLES = frozenset("me don dame sir ing lic miss".split())
+INTRODUCED_WEAKLY = re.compile(r"Recipient|Contact|Destinat|Empf")
+
+Segment = tuple[int, int, str]
+
+
+class Context:
+    """What surrounds the candidates of a text: sentence breaks, cues and numbers, found once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.breaks = [m.end() for m in BREAK.finditer(text)]
+        self.cues: dict[re.Pattern, list[int]] = {}
+
+    def sentence(self, at: int) -> int:
+        """Where the sentence of a place begins."""
+        i = bisect_right(self.breaks, at)
+        return self.breaks[i - 1] if i else 0
+
+    def ends(self, pattern: re.Pattern) -> list[int]:
+        if pattern not in self.cues:
+            self.cues[pattern] = [m.end() for m in pattern.finditer(self.text)]
+        return self.cues[pattern]
+
+    def led(self, at: int, cue: re.Pattern) -> str | None:
+        """``cue`` or ``far cue`` if the sentence has the cue before the place, ``used cue`` if a number stands between."""
+        ends = self.ends(cue)
+        i = bisect_right(ends, at)
+        if not i or ends[i - 1] < self.sentence(at):
+            return None
+        runs = self.ends(RUN)
+        j = bisect_right(runs, at)
+        if j and runs[j - 1] > ends[i - 1]:
+            return "used cue"
+        return "cue" if at - ends[i - 1] <= 24 else "far cue"
+
+    def against(self, at: int) -> bool:
+        ends = self.ends(AGAINST)
+        i = bisect_right(ends, at)
+        return bool(i) and ends[i - 1] == at
 
 
 class Finder:
     """Finds the segments of a text."""
 
-    def __init__(self, names: Names):
-        self.names, self.known = names, {}
+    def __init__(self, names: Names, table: Mapping[str, float] = weights.PII):
+        self.names, self.weights = names, table
+        self.known: dict[str, int] = {}
 
     def like(self, word: str) -> int:
         bits = self.known.get(word)
         if bits is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > MEMORY:
                 self.known.clear()
             bits = 0
             for part in re.split(r"[-'’]", word):
@@ -238,159 +281,170 @@ class Finder:
             self.known[word] = bits
         return bits
 
-    def emails(self, text: str) -> Iterator[Segment]:
+    def emails(self, text: str) -> Iterator[Candidate]:
         low = text.lower()
         if "@" in text or re.search(r"[\[({]\s*at\s*[\])}]", low):
             for m in EMAIL.finditer(text):
-                yield m.start(), m.end(), "email", score("email", "form")
+                yield Candidate(m.start(), m.end(), "email", ("bias", "at" if "@" in m[0] else "bracketed at", "numeric end" if m[0][-1].isdigit() else "end"))
         if " at " in low and " dot " in low:
             for m in SPOKEN_EMAIL.finditer(text):
-                yield m.start(), m.end(), "email", score("email", "form")
+                yield Candidate(m.start(), m.end(), "email", ("bias", "spoken"))
 
-    def phones(self, text: str) -> Iterator[Segment]:
+    def phones(self, text: str, around: Context) -> Iterator[Candidate]:
         for m in PHONE.finditer(text):
             value = SPACE.sub(" ", m[0])
             digits = sum(map(str.isdigit, value))
-            if not 7 <= digits <= 15:
+            if not 7 <= digits <= 15:  # no telephone number has fewer or more
                 continue
-            before = text[max(0, m.start() - 60) : m.start()]
+            start, end = m.span()
             features = ["bias"]
             if m["intl"]:
-                features.append("international")
+                features.append("short international" if digits < 10 else "international")
+            elif digits < 9:
+                features.append("short")
             if "(" in value:
                 features.append("bracketed")
             if any(f.fullmatch(value) for f in PHONE_FORMS):
-                features.append("form")
-            if PHONE_CUE.search(before) or PHONE_AFTER.match(text[m.end() : m.end() + 30]):
+                features.append("national form")
+            elif not m["intl"]:
+                features.append("no form")
+            if PHONE_AFTER.match(text, end):
                 features.append("cue")
-            if re.search(r"(?:^|[\n/;|(\"])\s*$", before) and re.match(r"\s*(?:$|[\n/;|)\"])", text[m.end() : m.end() + 3]):
+            elif led := around.led(start, PHONE_CUE):
+                features.append(led)
+            if LEADS.search(text, max(0, start - NEAREST), start) and FOLLOWS.match(text, end):
                 features.append("alone")
-            if AGAINST.search(before):
+            if around.against(start):
                 features.append("against")
-            if digits < 9 and "cue" not in features or m["intl"] and digits < 10:
-                features.append("length")
-            if "form" not in features and not m["intl"] and "cue" not in features:
-                continue
-            yield m.start(), m.end(), "phone", score("phone", *features)
+            if around.led(start, ID_CUE) in ("cue", "far cue"):
+                features.append("identity cue")
+            yield Candidate(start, end, "phone", tuple(features))
 
-    def idnums(self, text: str) -> Iterator[Segment]:
+    def idnums(self, text: str, around: Context) -> Iterator[Candidate]:
         seen: set[tuple[int, int]] = set()
         for name, form in IDNUMS.items():
             for m in form.finditer(text):
-                if (m.start(), m.end()) in seen:
+                if m.span() in seen:
                     continue
-                seen.add((m.start(), m.end()))
-                before = text[max(0, m.start() - 80) : m.start()]
-                features = ["bias"] + (["form"] if name != "other" else [])
-                if (c := ID_CUE.search(before)) and not re.search(r"[.!?]\s+\S*[A-Z]|\n\s*\n|\d{4}", before[c.start() :].replace("No.", "").replace("no.", "")) or ID_AFTER.match(text[m.end() : m.end() + 40]):
+                seen.add(m.span())
+                features = ["bias", f"form {name}" if name != "other" else "other form"]
+                led = around.led(m.start(), ID_CUE)
+                if ID_AFTER.match(text, m.end()):
                     features.append("cue")
-                if AGAINST.search(before) and not ID_CUE.search(before[-30:]):
+                elif led:
+                    features.append(led)
+                if around.against(m.start()) and led != "cue":
                     features.append("against")
-                if "cue" in features:
-                    yield m.start(), m.end(), "idnum", score("idnum", *features)
+                yield Candidate(*m.span(), "idnum", tuple(features))
 
-    def addresses(self, text: str) -> Iterator[Segment]:
+    def addresses(self, text: str) -> Iterator[Candidate]:
         low = text.lower()
         for form, hints in zip(ADDRESSES, STREET_HINTS):
             if not any(h in low for h in hints):
                 continue
             for m in form.finditer(text):
-                features = ["form"]
-                tail = m[0]
-                if re.search(rf"{ZIP}", tail):
+                features = ["bias"]
+                if ADDRESS_CODE.search(m[0]):
                     features.append("postcode")
-                if re.search(rf"(?:,|\bin|\ben|\bà|\n)\s*(?:{ZIP}\s+)?{TOWN}", tail):
+                if ADDRESS_TOWN.search(m[0]):
                     features.append("town")
-                yield m.start(), m.end(), "address", score("address", *features)
+                yield Candidate(*m.span(), "address", tuple(features))
 
-    def persons(self, text: str) -> Iterator[Segment]:
+    def persons(self, text: str) -> Iterator[Candidate]:
         like, known = self.like, self.known
-        if not any(known[w] if w in known else like(w) for w in WORDS.findall(text)):
-            return
-        hits = [(m.start(), m.end(), bits) for m in WORDS.finditer(text) if (bits := like(m[0]))]
+        if any(known[w] if w in known else like(w) for w in WORDS.findall(text)):
+            hits = [(m.start(), m.end(), bits) for m in WORDS.finditer(text) if (bits := like(m[0]))]
+            yield from self.composed(text, hits)
+        if any(h in text for h in TITLE_HINTS):
+            yield from self.titled(text)
+        if any(h in text for h in INTRODUCED_HINTS):
+            for m in INTRODUCED.finditer(text):
+                words = WORDS.findall(m[1])
+                n = sum(map(bool, map(like, words)))
+                kind = "introduced weakly" if INTRODUCED_WEAKLY.match(m[0]) else "introduced"
+                yield Candidate(*m.span(1), "name", ("bias", "upper", kind, "all known" if n == len(words) else "some known" if n else "none known"))
+
+    def composed(self, text: str, hits: list[tuple[int, int, int]]) -> Iterator[Candidate]:
+        """Given names and initials before or after a word like a family name."""
         at = {s: (e, b) for s, e, b in hits}
         ends = {e: (s, b) for s, e, b in hits}
         for start, end, bits in hits:
             if not bits & 2:
                 continue
-            before, after = text[max(0, start - 40) : start], text[end : end + 40]
             upper = text[start].isupper()
-            # given names and initials to the left, then a title
+            case = "upper" if upper else "lower"
             left, features = start, []
             while True:
-                gap = re.search(r"\s+$", text[max(0, left - 8) : left])
-                if gap and (h := ends.get(left - len(gap[0]))) and h[1] & 1 and "\n\n" not in gap[0] and len(features) < 3:
+                gap = GAP.search(text, max(0, left - NEAREST), left)
+                if gap and (h := ends.get(gap.start())) and h[1] & 1 and "\n\n" not in gap[0]:
                     left = h[0]
                     features.append("given")
-                elif upper and (i := INITIALS.search(text[max(0, left - 14) : left])) and "\n" not in i[0]:
-                    if FRENCH_M.search(text[max(0, left - 8) : left]) and i[0].strip() == "M." and not features and not (ends.get(len(text[: left - len(i[0])].rstrip()), (0, 0))[1] & 1) and FRENCH.search(text[max(0, left - 120) : left + 120]) and not re.search(r"\bmy|the|from\b", text[max(0, left - 40) : left]):
-                        features.append("title")
-                        break
-                    left -= len(i[0])
+                elif upper and (i := INITIALS.search(text, max(0, left - NEAREST), left)) and "\n" not in i[0]:
+                    if not features and i[0].strip() == "M.":
+                        french = bool(FRENCH.search(text[max(0, left - 120) : left + 120])) and not re.search(r"\bmy|the|from\b", text[max(0, left - 40) : left])
+                        before = ends.get(len(text[: i.start()].rstrip()) if i.start() < NEAREST else i.start() - len(GAP_END.search(text, max(0, i.start() - NEAREST), i.start())[0]), (0, 0))
+                        if french and not before[1] & 1:
+                            yield Candidate(start, end, "name", ("bias", case, "family", "title"))
+                            features.append("monsieur")
+                    left = i.start()
                     features.append("initials")
                 else:
                     break
-                if "initials" in features and "given" in features and len(features) > 3:
-                    break
-            if BEFORE_TITLE.search(text[max(0, left - 24) : left]):
-                features.append("title")
-            capital = ["capital"] if upper else []
+            title = BEFORE_TITLE.search(text, max(0, left - NEAREST), left)
+            if title:
+                word = title[0].strip(" .\t\xa0\n").lower()
+                features.append("lower title" if title[0].strip()[0].islower() else "weak title" if word in WEAK_TITLES else "title")
             if features:
-                if features != ["title"] or upper:
-                    kinds = list(dict.fromkeys(features))
-                    yield left, end, "name", score("name", "bias", "family", *kinds, *capital) + WEIGHTS["name", "per word"] * len(features)
-            # family name first
-            comma = re.match(r"(,?)\s+", after)
-            if comma and (h := at.get(end + len(comma[0]))) and h[1] & 1 and not (h[1] & 2 and not comma[1]) and "\n" not in comma[0].strip(" ") and text[end + len(comma[0])].isupper() == upper:
+                yield Candidate(left, end, "name", ("bias", case, "family", *dict.fromkeys(features)))
+            comma = COMMA.match(text, end)
+            if comma and (h := at.get(comma.end())) and h[1] & 1 and (not h[1] & 2 or comma[1]) and "\n" not in comma[0].strip(" ") and text[comma.end()].isupper() == upper:
                 stop = h[0]
-                if i := re.match(r"(?:[^\S\n]+[A-ZÀ-Þ]\.)+(?!\w)", text[stop : stop + 12]):
-                    stop += len(i[0])
-                yield start, stop, "name", score("name", "bias", "family", "given", *capital) + 3 * WEIGHTS["name", "per word"] - (0.0 if comma[1] else 0.6)
-            elif upper and (i := INITIALS_AFTER.match(after)):
-                yield start, end + len(i[0]), "name", score("name", "bias", "family", "initials", *capital) + 0.1
+                if i := LATER_INITIALS.match(text, stop):
+                    stop = i.end()
+                yield Candidate(start, stop, "name", ("bias", case, "family", "given", "comma" if comma[1] else "reversed"))
+            elif upper and (i := INITIALS_AFTER.match(text, end)):
+                yield Candidate(start, i.end(), "name", ("bias", case, "family", "initials after"))
+
+    def titled(self, text: str) -> Iterator[Candidate]:
+        """One or more capitalised words after a title."""
         for m in TITLES.finditer(text):
-            if t := re.match(rf"(?:(?:[A-ZÀ-Þ]\.[^\S\n]?)*{CAP}[^\S\n]+)?{CAP}", text[m.end() : m.end() + 60]):
-                words = [w for w in re.findall(r"[^\W\d_]{2,}", t[0])]
-                if words and not words[-1].isupper() and len(words[-1]) > 3 and m[0].strip()[0].isupper() and self.like(words[-1]) & 2:
-                    yield m.end(), m.end() + t.end(), "name", score("name", "bias", "title", "capital", "family") + 0.1 * len(words)
-        for m in INTRODUCED.finditer(text):
-            if any(like(w) for w in WORDS.findall(m[1])):
-                yield m.start(1), m.end(1), "name", score("name", "bias", "introduced", "capital", "family")
-
-    def candidates(self, text: str) -> list[Segment]:
+            if not m[0].strip()[0].isupper():
+                continue
+            word = re.split(r"[\s.]+", m[0].strip(" .\t\xa0\n"))[-1].lower()
+            kind = "weak title" if word in WEAK_TITLES else "title"
+            for form in (AFTER_TITLE_ONE, AFTER_TITLE_MORE):
+                if t := form.match(text, m.end()):
+                    words = WORDS.findall(t[0])
+                    if not words:
+                        continue
+                    last = self.like(words[-1])
+                    if last & 2 and len(words) == 1:
+                        continue  # composed already
+                    first = self.like(words[0])
+                    features = ["bias", "upper", kind, "family" if last & 2 else "capitals" if words[-1].isupper() and len(words[-1]) > 1 else "unknown"]
+                    if len(words) > 1:
+                        features.append("given" if first & 1 else "second unknown" if not last & 2 else "first unknown")
+                    yield Candidate(*t.span(), "name", tuple(features))
+
+    def candidates(self, text: str) -> list[Candidate]:
         out = list(self.emails(text))
-        if LONG_NUMBER.search(text):
-            out.extend(self.phones(text))
-        if ID_NUMBER.search(text):
-            out.extend(self.idnums(text))
+        numbers = LONG_NUMBER.search(text), ID_NUMBER.search(text)
+        if any(numbers):
+            around = Context(text)
+            if numbers[0]:
+                out.extend(self.phones(text, around))
+            if numbers[1]:
+                out.extend(self.idnums(text, around))
         if HOUSE_NUMBER.search(text):
             out.extend(self.addresses(text))
         out.extend(self.persons(text))
-        return [c for c in out if c[3] > 0 and c[1] - c[0] <= LONGEST]
+        return out
 
-    def segments(self, text: str | None) -> list[tuple[int, int, str]]:
-        """The labelling with the highest sum of scores, in order."""
-        if not text:
-            return []
-        found = self.candidates(text)
-        if not found:
-            return []
-        found.sort(key=lambda c: (c[1], c[0]))
-        ends = [c[1] for c in found]
-        best, take = [0.0], []
-        for i, (start, _, _, value) in enumerate(found):
-            j = bisect_right(ends, start, 0, i)
-            use = best[j] + value > best[i]
-            take.append(j if use else -1)
-            best.append(best[j] + value if use else best[i])
-        out, i = [], len(found)
-        while i:
-            if take[i - 1] < 0:
-                i -= 1
-            else:
-                out.append(found[i - 1][:3])
-                i = take[i - 1]
-        return out[::-1]
+    def segments(self, text: str | None) -> list[Segment]:
+        """The labelling with the highest score, in order. Line ends of any kind are read as LF, at their places."""
+        text = text and text.replace("\r\n", " \n").replace("\r", "\n")
+        found = self.candidates(text) if text else []
+        return [c[:3] for c in crf.decode(text, found, self.weights)] if found else []
 
     def values(self, text: str | None) -> list[tuple[str, str]]:
         return [(kind, SPACE.sub(" ", text[s:e]).strip()) for s, e, kind in self.segments(text)]
@@ -405,12 +459,10 @@ class Finder:
         return "".join(out) + text[at:]
 
 
-def finder(name_list: DataFrame) -> Finder:
-    """A finder for the listed names, of which there are at most ``NAME_BOUND``."""
-    rows = name_list.select(F.trim("name").alias("name"), F.lower(F.trim("kind")).alias("kind")).where("name is not null").distinct().limit(NAME_BOUND + 1).collect()
-    if len(rows) > NAME_BOUND:
-        raise ValueError(f"the name list has more than {NAME_BOUND} names")
-    return Finder(Names.learn((r["name"], r["kind"]) for r in rows))
+def learned(name_list: DataFrame) -> Names:
+    """The names learned from the list. A list of names is a vocabulary, as a tokenizer's is: it doesn't grow with the texts."""
+    rows = name_list.select(F.trim("name").alias("name"), F.lower(F.trim("kind")).alias("kind")).where("name is not null").distinct().collect()
+    return Names.learn((r["name"], r["kind"]) for r in rows)
 
 
 def texts(messages: DataFrame, activity: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -421,12 +473,13 @@ def texts(messages: DataFrame, activity: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def read(parts: list[str | None] | None, markup: bool) -> str:
+    """The visible text of markup; a message as it stands."""
     parts = [p for p in parts or [] if p]
-    return "\n\n".join(map(visible, parts)) if markup else "\n\n".join(parts).replace("\r\n", "\n").replace("\r", "\n")
+    return "\n\n".join(map(visible, parts)) if markup else "\n\n".join(parts)
 
 
 def mapped(messages: DataFrame, activity: DataFrame, name_list: DataFrame, redact: bool) -> DataFrame:
-    shared = messages.sparkSession.sparkContext.broadcast(finder(name_list).names)
+    shared = messages.sparkSession.sparkContext.broadcast(learned(name_list))
     columns = ["text"] if redact else ["pii_type", "found"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,6 +498,8 @@ def mapped(messages: DataFrame, activity: DataFrame, name_list: DataFrame, redac
 
     schema = "src string, rec_id long, " + ", ".join(f"{c} string" for c in columns)
     own, shown = texts(messages, activity)
+    if redact:  # each record once, before the work
+        own, shown = own.dropDuplicates(["rec_id"]), shown.dropDuplicates(["rec_id"])
     return python_partitions(own).mapInArrow(run, schema).unionByName(python_partitions(shown).mapInArrow(run, schema))
 
 
@@ -454,5 +509,5 @@ def found(messages: DataFrame, activity: DataFrame, name_list: DataFrame) -> Dat
 
 
 def redacted(messages: DataFrame, activity: DataFrame, name_list: DataFrame) -> DataFrame:
-    """The text of each record with a typed placeholder for each value; rows delivered twice stay two."""
+    """The text of each record, once, with a typed placeholder for each value; the rest, line ends too, as it stands."""
     return mapped(messages, activity, name_list, redact=True)
