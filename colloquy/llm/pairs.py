@@ -3,29 +3,34 @@
 A pair is a user message and the assistant message at the next index. Each pair gets at most one defect, the first of:
 
 - ``empty``: nothing but blank, invisible or placeholder characters;
-- ``copy``: the answer's word shingles lie in the question, and the longest common subsequence of the two
+- ``copy``: the answer's word shingles are contained in the question, and the longest common subsequence of the two
   covers both, once or several times over;
-- ``refusal``: a sentence aligns with a refusal template, and what else is said is only courtesy;
-- ``truncated``: an open code block, an empty list item, or prose that stops without an end;
-- ``language``: function words and script say another language than the question's, and the question names none.
+- ``refusal``: a sentence aligns with a refusal template, and most of what else is said is courtesy (:mod:`colloquy.llm.refusals`);
+- ``truncated``: the end looks like that of a text cut at a chance place (:mod:`colloquy.llm.endings`);
+- ``language``: function words and script say another language than the question's, and the question names none (:mod:`colloquy.llm.languages`).
 
-Both messages meet by one exchange on (conv_id, index of the answer); rows delivered twice fold there.
+What counts as a refusal and as an end is fitted by :mod:`colloquy.llm.pairs_train`.
+
+Both messages meet by one exchange and one sort on (conv_id, index of the answer), in which the question streams ahead of its answers; rows
+delivered twice fold there. No length of a text decides anything.
 Defined results: null texts count as empty; a null question can't be copied and has no language; messages without
-neighbour are no pair; empty tables give no rows.
+neighbour are no pair; of several user messages at one index the one with the largest msg_id is the question; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
-from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.common import spread
+from colloquy.llm import languages
+from colloquy.llm.alignment import common_subsequence, containment, shingles, words
+from colloquy.llm.endings import is_truncated
+from colloquy.llm.refusals import is_refusal
 
 SHINGLE = 3
 COPIED = 0.8
@@ -38,60 +43,6 @@ PLACEHOLDER = re.compile(
 VISIBLE = re.compile(r"[^\s\u200b-\u200f\u2028-\u202e\u2060-\u206f\ufeff\u00ad\u180e\x00-\x1f\x7f-\x9f]")
 WORDLIKE = re.compile(r"[^\W_]|[\U0001F300-\U0001FAFF\u2600-\u27bf]")
 
-WORD = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+(?:['’][^\W_]+)*")
-SENTENCE = re.compile(r"(?<=[.!?…])[\"'»”’)]*\s+|(?<=[。！？])|\n+")
-
-# Function words, by language.
-FUNCTION_WORDS = {
-    "en": "the and is are was were of to in that it you your for with on as at be this have has had not but they we my our from or an will would can could should there their what which who how if when where why before after then than about into them all do does did its while since every any i me so because please hello thanks write give tell explain turn draft remind first",
-    "de": "der die das und ist sind war waren zu den dem des ein eine einen einem einer nicht mit auf für von im am es du dein ich wir ihr sie er uns mir mich dir dich wie was wer wenn ob oder aber auch noch nur nach bei aus zum zur bis seit sich so wird werden wurde kann kannst können soll muss hat habe haben dass daß weil dann als vor über unter durch gegen ohne schon sehr mehr hier dort danach zuerst alles nichts beim vom keine kein meistens etwa dies diese dieser in an so me hallo danke bitte schreib erkläre gib sag mach kurz zwei leute gleichzeitig passiert lief heute gestern freitag woche erst kollege recht gibt frag prüfe behalte",
-    "fr": "le les et est sont était du au aux un une dans que qui ce cette ces il elle nous vous je tu ne pas plus pour par sur avec sans sous mais ou où si quand comment pourquoi quel quelle mon ma mes ton ta tes son sa ses leur leurs être avoir fait peut peux dois doit ai as ont avez avons cela ça rien tout tous très puis ensuite après avant jusqu depuis dès moi toi lui dont chez en des à qu environ la de se me te lo es son si tous cet aucun car donc sur chaque encore toujours peu fait alors voici deux même temps petit bonjour merci salut svp moi jour heure fin vendredi rédige écris explique donne fais dis équipe passe passent demande vérifie garde note",
-    "es": "el los las y está están era del al un una unos unas en que quien este esta estos estas él ella nosotros yo tú no más por para sobre con sin pero o si cuando cómo qué cuál dónde quién mi mis tu tus su sus ser estar ha han hay he has puede puedo puedes debo debe tengo tiene todo nada muy luego después antes hasta desde me te se lo le les es son de la como porque cada entre ese esa eso esto hola gracias escribe explica dime dame haz corto seguro ahora pasa semana viernes días año dos aplica apunta guarda pregunta comprueba",
-}
-
-
-def _languages() -> dict[str, str]:
-    seen: dict[str, list[str]] = {}
-    for language, words in FUNCTION_WORDS.items():
-        for w in words.split():
-            seen.setdefault(w, []).append(language)
-    return {w: of[0] for w, of in seen.items() if len(of) == 1}
-
-
-LANGUAGE_OF = _languages()
-HAN = re.compile(r"[\u3400-\u9fff]+")
-LATIN = re.compile(r"[^\W\d_]+")
-ELIDED = re.compile(r"\b(?:[cdjlmnst]|qu)['’](?=[aàâeéèêiîoôuyh])", re.I)
-NOISE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|[A-Za-z0-9+/=_-]{25,}", re.S)
-ACCENTS = {"ß": "de", "ä": "de", "ñ": "es", "¿": "es", "¡": "es", "ç": "fr", "ê": "fr", "è": "fr", "œ": "fr"}
-
-
-def language_scores(text: str) -> dict[str, float]:
-    """Evidence for each language: function words, elisions, letters and script; code and long strings count for nothing."""
-    text = NOISE.sub(" ", text)
-    score = dict.fromkeys(("en", "de", "fr", "es", "zh"), 0.0)
-    score["zh"] = sum(map(len, HAN.findall(text))) / 2
-    for word in LATIN.findall(text.lower()):
-        if of := LANGUAGE_OF.get(word):
-            score[of] += 1
-    score["fr"] += len(ELIDED.findall(text))
-    if not text.isascii():
-        for letter, of in ACCENTS.items():
-            score[of] += 0.5 * text.count(letter)
-    return score
-
-
-def other_language(question: str, answer: str) -> bool:
-    """Whether the answer is mainly in a language that the question hardly has."""
-    own = language_scores(answer)
-    best = max(own, key=own.__getitem__)
-    if own[best] < 2 or own[best] <= 0.5 * sum(own.values()):
-        return False
-    asked = language_scores(question)
-    most = max(asked, key=asked.__getitem__)
-    return most != best and asked[most] >= 1.5 and asked[best] < 0.5 * asked[most]
-
-
 # Names of the languages, and words that ask for a translation.
 ASKED = re.compile(
     r"\b(?:english|german|french|spanish|chinese|mandarin|italian|portuguese|japanese|dutch|polish|russian|englisch\w*|deutsch\w*|französisch\w*|spanisch\w*|chinesisch\w*"
@@ -100,111 +51,6 @@ ASKED = re.compile(
     re.I,
 )
 
-# Refusals: alternatives in brackets, tokens otherwise as they stand.
-REFUSALS = """
-[i'm sorry but|i'm afraid|apologies but|regrettably|unfortunately|] i [can't|cannot|won't|am unable to|am not able to|am not allowed to|would prefer not to|don't feel comfortable enough to|must refuse to] [help with|assist with|comply with|answer|give advice on|take part in|share|produce|provide|discuss|do|continue with|go into|support|engage with|respond to] [that|this|this request|that request|this question|this content|that content]
-this is a topic i [can't|cannot|won't|am unable to|am not able to|am not allowed to|would prefer not to|don't feel comfortable enough to|would rather not] go into
-i won't be able to [provide|do|answer] that
-i don't have the ability to answer this
-this falls outside what i am allowed to do so i won't continue
-no comment on that i'm afraid
-that's not something i can do here
-that is something i have to pass on
-i'd rather not answer this question
-i must decline this [one|request]
-this request goes against my guidelines
-i [can't|cannot|won't] do that
-[dabei|dazu|hier|damit] kann ich [dir|ihnen|] [leider|] nicht [helfen|weiterhelfen|unterstützen|dienen]
-ich kann [dabei|dazu|so etwas|das|dieses|darauf|hier|] [leider|] nicht [helfen|unterstützen|beantworten|liefern|erstellen|tun|beraten|anbieten|geben]
-ich [möchte|darf|werde] [dazu|das|so etwas|darauf|dabei|hier] [lieber|] nicht [helfen|beantworten|tun|äußern|unterstützen|erstellen|liefern|mitmachen]
-das darf ich nicht tun
-ich muss diese [bitte|anfrage] ablehnen
-als sprachmodell kann ich dazu keine auskunft geben
-[diese|die] [anfrage|frage|bitte] kann ich [leider|] nicht [beantworten|erfüllen]
-leider muss ich hier passen
-dazu möchte ich mich nicht äußern
-darauf gebe ich keine antwort
-das verstößt gegen meine richtlinien
-je [ne suis pas en mesure de|ne peux pas|dois refuser de|préfère ne pas] [répondre|aider|traiter|vous aider|t'aider|fournir ce contenu|donner ce contenu|faire cela|donner ce genre de contenu]
-je ne peux pas vous aider sur ce point
-je dois refuser cette demande
-je préfère ne pas me prononcer là-dessus
-je ne donnerai pas suite à cette question
-il m'est impossible de [traiter|répondre à] cette [question|demande]
-[cela|cette demande] va à l'encontre de mes règles
-no [puedo|me es posible|me está permitido] [ayudarte con|ayudar con|responder a|contestar|dar|opinar sobre|generar] [eso|esto|esta solicitud|ese contenido|esa pregunta|este tema|]
-como modelo de lenguaje no puedo contestar
-no voy a contestar esa pregunta
-prefiero no opinar sobre eso
-debo rechazar esta petición
-esto va en contra de mis normas así que no voy a seguir
-我必须拒绝这个请求
-这个问题我不能回答
-我无法帮助您完成这个请求
-我不能提供这方面的内容
-[我|] [无法|不能|不便] [回答|提供|协助|处理|完成] [这个|这方面的|该|您的|] [问题|请求|内容|要求]
-""".strip().splitlines()
-
-CUES = re.compile(
-    r"\b(?:can['’]t|cannot|won['’]t|unable|not able|not allowed|prefer not|comfortable|refuse|not something|pass on|rather not|decline|guidelines|no comment|ability|outside what"
-    r"|nicht|ablehnen|keine|passen|richtlinien|ne|refuser|impossible|encontre|no|rechazar|contra)\b|拒绝|不能|无法|不便",
-    re.I,
-)
-# Openings, closings and reasons that go with a refusal and answer nothing.
-COURTESY = re.compile(
-    r"hmm|well|i understand why you ask|thank you for|thanks for|is there (?:something|anything) else|you may want to ask|i hope that|please (?:understand|consult)|sorry|i['’]m sorry|let me know|to be frank"
-    r"|gibt es etwas anderes|bitte hab|danke|es tut mir|wende dich|ich verstehe|ehrlich gesagt|hm|y a-t-il autre|merci|je (?:suis )?désolé|je comprends|¿hay algo|gracias|lo siento|lo lamento|entiendo|por desgracia"
-    r"|抱歉|对不起|谢谢|感谢|很遗憾|请谅解|请理解|还有别的|希望您|我理解|作为语言模型|有其他",
-    re.I,
-)
-
-
-def words(text: str) -> list[str]:
-    return WORD.findall(text.casefold().replace("’", "'"))
-
-
-@lru_cache(maxsize=1)
-def templates() -> list[tuple[str, ...]]:
-    out = set()
-    for line in REFUSALS:
-        parts = [p for p in re.split(r"\[([^\]]*)\]", line)]
-        options = [(p,) if i % 2 == 0 else tuple(p.split("|")) for i, p in enumerate(parts)]
-        out |= {tuple(words(" ".join(x))) for x in itertools.product(*options)}
-    return sorted(out)
-
-
-@lru_cache(maxsize=1)
-def template_index() -> dict[tuple[str, ...], list[int]]:
-    """Word pairs to the templates that hold them."""
-    index: dict[tuple[str, ...], list[int]] = {}
-    for i, t in enumerate(templates()):
-        for pair in set(zip(t, t[1:])):
-            index.setdefault(pair, []).append(i)
-    return index
-
-
-def places_of(a: list[str]) -> dict[str, int]:
-    """The places of each word, as bits."""
-    places: dict[str, int] = {}
-    for i, w in enumerate(a):
-        places[w] = places.get(w, 0) | 1 << i
-    return places
-
-
-def common_subsequence(a: list[str], b: Sequence[str], places: dict[str, int] | None = None) -> int:
-    """Length of the longest common subsequence, a row of bits at a time; places: those of ``a``, if at hand."""
-    if not a or not b:
-        return 0
-    if places is None:
-        places = places_of(a)
-    full = row = (1 << len(a)) - 1
-    for w in b:
-        if m := places.get(w):
-            u = row & m
-            row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
-
-
 def is_empty(text: str | None) -> bool:
     if text is None or not VISIBLE.search(text):
         return True
@@ -217,84 +63,25 @@ def is_copy(question: list[str], answer: list[str]) -> bool:
     known = set(question)
     if sum(w in known for w in answer) < COPIED * len(answer):
         return False
-    shingles = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
     n = min(SHINGLE, len(question), len(answer))
-    own = shingles(answer, n)
-    if len(own & shingles(question, n)) < 0.4 * len(own):
+    if containment(shingles(answer, n), shingles(question, n)) < 0.4:
         return False
     times = max(1, round(len(answer) / len(question)))
     both = common_subsequence(question * times, answer)
     return both >= COPIED * len(answer) and both >= 0.75 * times * len(question)
 
 
-def is_refusal_sentence(sentence: list[str]) -> bool:
-    hits: dict[int, int] = {}
-    index = template_index()
-    for pair in set(zip(sentence, sentence[1:])):
-        for i in index.get(pair, ()):
-            hits[i] = hits.get(i, 0) + 1
-    near = [(n, i) for i, n in hits.items() if n >= 0.5 * (len(templates()[i]) - 1)]
-    places = places_of(sentence) if near else {}
-    return any(common_subsequence(sentence, templates()[i], places) >= 0.85 * len(templates()[i]) for _, i in sorted(near, reverse=True))
-
-
-def is_refusal(text: str) -> bool:
-    if "```" in text or not CUES.search(text):
-        return False
-    refused, rest = False, 0
-    for sentence in SENTENCE.split(text):
-        w = words(sentence)
-        if not w:
-            continue
-        if not refused or CUES.search(sentence):
-            if CUES.search(sentence) and is_refusal_sentence(w):
-                refused = True
-                continue
-        if not COURTESY.match(sentence.strip(" \"'“„«")):
-            rest += len(w)
-            if rest > 12:
-                return False
-    return refused
-
-
-ITEM = re.compile(r"\s*(?:[-*•–]|\d{1,3}[.)])(?:\s+|$)")
-END = re.compile(r"[.!?。！？:：]['\"»”’)\]*_`]*$|[`\U0001F300-\U0001FAFF\u2600-\u27bf)\]]$|://\S+$")
-OPEN = re.compile(r"(?:[,;(\[{，、；（«„“-]|\b[,;]\s*[\"'])$")
-
-
-def is_truncated(text: str) -> bool:
-    text = text.rstrip()
-    if text.count("```") % 2:
-        return True
-    line = text.rpartition("\n")[2].strip()
-    if text.endswith("```") or line.startswith("|") or line.startswith("    "):
-        return False
-    if m := ITEM.match(line):
-        item = line[m.end() :].strip("*_ ")
-        w = words(item)
-        return not w or len(w) == 1 and (w[0] in LANGUAGE_OF or w[0] in ("de", "la", "des", "a", "en", "le")) or bool(OPEN.search(item)) or item.endswith(("…", "..."))
-    if re.search(r"\S\s*(?:…|\.\.\.)$", text) or OPEN.search(text) or re.search(r"[,;]\s*[\"']$", text):
-        return True
-    if END.search(text):
-        return False
-    w = words(line)
-    if len(w) <= 3 and "\n" not in text and not re.search(r"[.!?。！？]", line[:-1]):
-        return False  # a number, a name or a word as the whole answer
-    return not line.startswith("#") and not re.search(r"(?<![\w.+-])[\w.+-]++@[\w-]|\d$", line)
-
-
 def defect(question: str | None, answer: str | None) -> str | None:
     """The one defect of a pair, or None."""
     if is_empty(answer):
         return "empty"
-    q = words(question) if question else []
-    if q and is_copy(q, words(answer)):
+    if question and is_copy(words(question), words(answer)):
         return "copy"
     if is_refusal(answer):
         return "refusal"
     if is_truncated(answer):
         return "truncated"
-    if question and not ASKED.search(question) and other_language(question, answer):
+    if question and not ASKED.search(question) and languages.other(question, answer):
         return "language"
     return None
 
@@ -302,12 +89,13 @@ def defect(question: str | None, answer: str | None) -> str | None:
 def pairs(messages: DataFrame) -> DataFrame:
     """msg_id, question and answer of each pair; repeated rows once."""
     rows = messages.where("role in ('user', 'assistant') and conv_id is not null and idx is not null").select(
-        "conv_id", F.when(F.col("role") == "user", F.col("idx") + 1).otherwise(F.col("idx")).alias("at"), "role", "msg_id", "text"
+        "conv_id", F.when(F.col("role") == "user", F.col("idx") + 1).otherwise(F.col("idx")).alias("at"), (F.col("role") == "assistant").alias("answer"), "msg_id", "text"
     )
-    rows = spread(rows, "conv_id", "at")
-    users = rows.where("role = 'user'").groupBy("conv_id", "at").agg(F.max(F.struct("msg_id", "text")).alias("u"))
-    answers = rows.where("role = 'assistant'").dropDuplicates(["conv_id", "at", "msg_id"])
-    return answers.join(users, ["conv_id", "at"]).select("msg_id", F.col("u.text").alias("question"), F.col("text").alias("answer"))
+    order = Window.partitionBy("conv_id", "at").orderBy("answer", F.desc_nulls_last("msg_id"))
+    first = F.first_value(F.struct("answer", "text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = spread(rows, "conv_id", "at").withColumn("first", first).withColumn("before", F.lag(F.struct("answer", "msg_id")).over(order))
+    again = F.col("before").eqNullSafe(F.struct("answer", "msg_id"))
+    return rows.where(F.col("answer") & ~F.col("first.answer") & ~again).select("msg_id", F.col("first.text").alias("question"), F.col("text").alias("answer"))
 
 
 def found(messages: DataFrame) -> DataFrame:

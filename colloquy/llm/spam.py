@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from colloquy.common import python_partitions
-from colloquy.llm.pairs import FUNCTION_WORDS
+from colloquy.llm.languages import FUNCTION_WORDS
 
 FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split()) - {"best"}
 SPLIT = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+")

@@ -81,3 +81,50 @@ PII: dict[str, float] = {
     "phone short international": -2.991,
     "phone used cue": 0.5,
 }
+
+REFUSAL: dict[str, float] = {
+    "aligned": 1.702,
+    "bias": -0.8,
+    "first person": 1.706,
+    "others": -2.56,
+    "pairs": 1.532,
+    "refuses": 2.536,
+    "roles": 0.626,
+    "rule": 2.132,
+    "whole": 1.051,
+}
+
+ENDING: dict[str, float] = {
+    "address at the end": -2.836,
+    "bias": -1.112,
+    "bracket open": 0.239,
+    "closed": -4.418,
+    "closed fence": -4.331,
+    "comma": 3.318,
+    "ellipsis": 2.763,
+    "few words alone": -2.055,
+    "full stop": -4.26,
+    "heading": -0.99,
+    "item ends in a digit": -1.893,
+    "item ends in a function word": 4.014,
+    "item ends in a joining word": 3.877,
+    "item ends in a letter": -1.241,
+    "item of one word": 1.732,
+    "item without words": 6.806,
+    "items of one word": -2.284,
+    "line ends in a digit": 0.014,
+    "line ends in a function word": 1.084,
+    "line ends in a joining word": 1.932,
+    "line ends in a letter": 1.365,
+    "line without words": 4.273,
+    "lines before are open": -1.746,
+    "lines before end in stops": 1.764,
+    "long line": 1.055,
+    "open fence": 2.992,
+    "opened": 3.974,
+    "other sign": -1.027,
+    "quote open": -0.45,
+    "sentences before on the line": 0.079,
+}
+
+PIECE: dict[str, float] = {}

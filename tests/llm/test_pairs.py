@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from colloquy.llm import alignment, endings, refusals
 from colloquy.llm import pairs as X
 
 Q = "How do I restart the staging database before lunch?"
@@ -45,7 +46,7 @@ def test_common_subsequence_equals_the_table():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        assert X.common_subsequence(a, b) == t[-1][-1]
+        assert alignment.common_subsequence(a, b) == t[-1][-1]
 
 
 def test_very_long_texts_take_no_square_time():
@@ -61,13 +62,47 @@ def test_length_decides_neither_refusal_nor_emptiness():
     assert all(X.defect(Q, a) == "empty" for a in ("N/A" + " " * 80, "\n" * 90 + "[no response]", "-" * 100))
 
 
-def test_every_template_is_aligned():
-    """Where an open phrase shares more word pairs with dozens of long templates than the refusal behind it with its own."""
-    for sentence in ("Regrettably I would prefer not to, so I'm afraid I can't provide this.", "Apologies, but I am unable to take part, ich darf dazu lieber nicht äußern."):
-        w = X.words(sentence)
-        assert any(X.common_subsequence(list(t), w) >= 0.85 * len(t) for t in X.templates() if len(set(zip(t, t[1:])) & set(zip(w, w[1:]))) >= 0.5 * (len(t) - 1))
-        assert X.defect(Q, sentence) == "refusal"
-    assert not X.is_refusal_sentence(X.words("I am not able " * 15_000))
+# Refusals, answers and endings in words that the training module hasn't.
+REFUSED = """
+I refuse to answer.|Sorry, no can do.|That request is one I have to turn down.|Das mache ich nicht, tut mir leid.|I'm sorry, I won't be helping with that one.|Apologies, we are unable to discuss this subject.|Unfortunately I cannot give advice on this.|That is not a topic I'm comfortable with, so I'll pass.
+Es tut mir leid, aber dabei kann ich Ihnen nicht weiterhelfen.|Zu diesem Thema gebe ich keine Auskunft.|Je regrette, il m'est impossible de répondre à cela.|Désolé, je ne peux pas donner suite à cette demande.|Lo lamento, no puedo hablar de ese tema.|Debo declinar esta solicitud.|抱歉，我无法讨论这个问题。|很遗憾，我不能完成这个要求。
+""".strip()
+ANSWERED = """
+I can't recommend that brand, but the tool restarts the service within a minute and the logs stay where they are.|The database refused the connection because the port was closed.|Don't restart it by hand.|You cannot skip the second step.|This does not change the result.|It isn't supported since version four.
+Der Server lehnt die Verbindung ab.|Das Kabel passt nicht.|Le serveur n'accepte pas la connexion.|No lo cambies antes del viernes.|端口没有打开。|I would not answer the phone while driving, and I never do.|She declined the invitation.|Nothing else depends on it.
+""".strip()
+ENDED = r"""
+Red\nBlue\nYellow|An old silent pond\nA frog jumps into the pond\nSplash! Silence again|Lisbon|3.14|Dear all,\n\nthe room is free again.\n\nYours,\nMaria|1. soap\n2. towels\n3. bread|Winter comes softly\nSnow on the window and roof\nThe garden is still|Peak: 40 kW\nMean: 12 kW|Go to https://tool.test/docs|Yes, of course!|The order is: first red, then blue.|Alpha\n\nBeta\n\nGamma
+""".strip()
+BROKEN_OFF = r"""
+The quickest way is to ask the|Open the lid. Then turn the red wheel until it|We need three things: flour, milk and|1. wash the rice\n2. boil the|1. wash the rice\n2. **|Both of them said that the house was old, but|Der Schlüssel liegt unter der|La clé se trouve dans le|La llave está debajo de la|The cause is simple: the fan (|Water the plants in the morning. If the soil is dry, ...|```\nfor i in x:\n  y
+""".strip()
+
+
+def pieces(block):
+    return [p.replace("\\n", "\n") for line in block.split("\n") for p in line.split("|")]
+
+
+def test_held_out_refusals_and_endings():
+    for judge, yes, no in ((refusals.is_refusal, REFUSED, ANSWERED), (endings.is_truncated, BROKEN_OFF, ENDED)):
+        missed, wrong = [s for s in pieces(yes) if not judge(s)], [s for s in pieces(no) if judge(s)]
+        found = len(pieces(yes)) - len(missed)
+        print(missed, wrong)
+        assert found >= 0.9 * len(pieces(yes)) and found >= 0.9 * (found + len(wrong)), (missed, wrong)
+
+
+def test_a_refusal_of_any_length_is_found():
+    courtesy = " Thank you for your patience and for writing to us at such length about this matter." * 60
+    assert len(courtesy) > 5000 and X.defect(Q, "I'm sorry, but I can't help with that." + courtesy) == "refusal"
+    assert not refusals.is_refusal("I am not able " * 15_000)
+
+
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [("Prima di tutto controlla che il servizio sia attivo e poi riavvia il database come sempre.", "language"), ("Controleer eerst of het niet aan de kabel ligt en start dan de dienst opnieuw.", "language"), ("Сначала проверьте кабель.", "language"), (GOOD, None), ("`systemctl restart db`", None)],
+)
+def test_other_languages(answer, want):
+    assert X.defect(Q, answer) == want
 
 
 def test_copy_any_number_of_times():
@@ -81,3 +116,11 @@ def test_pairs_of_dirty_rows(spark):
     frame = spark.createDataFrame([(*r, "clash", "clash") for r in rows], schema)
     assert {(r.msg_id, r.defect) for r in X.found(frame).collect()} == {(2, "empty"), (5, "empty")}
     assert X.found(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_one_exchange_and_ties(spark, tmp_path):
+    rows = [(1, 1, 0, "user", "first"), (2, 1, 0, "user", Q), (3, 1, 1, "assistant", Q), (4, 1, 1, "assistant", GOOD), (3, 1, 1, "assistant", Q)]
+    spark.createDataFrame(rows, "msg_id long, conv_id long, idx int, role string, text string").write.parquet(str(tmp_path / "m"))
+    frame = X.pairs(spark.read.parquet(str(tmp_path / "m")))
+    assert sorted(tuple(r) for r in frame.collect()) == [(3, Q, Q), (4, Q, GOOD)]
+    assert frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
