@@ -2,9 +2,9 @@
 
 A page is cut into lines and sentences, and each piece is reduced to a shape: bucketed counts of words and separators,
 shares of capitals and function words, links, tags, prices, how it begins and ends, and how often its content words return.
-Pieces of one shape are grouped, and a shape is a sentence, an entry of a record (agenda line, table row, amendment, paper, roll call,
-formula, interjection), or one of the non-sentence kinds: ``links``, ``tags``, ``goods``, ``menu``, ``keywords``, ``stuffed``.
-A page is spam if the non-sentence kinds hold more than half of its length.
+Pieces of one shape are grouped. A fitted model (:mod:`colloquy.llm.spam_train`) tells from a shape whether it is that of a sentence or an entry of a record, or
+none of a sentence: keywords, menus, links, tags, goods, stuffed phrases. A page is spam if non-sentence shapes hold more than half of its length
+and few of them, at most ``FEW``, suffice for that half.
 
 Unfinished lines that follow one another are weighed as one block, so that a list means the same with commas or with line ends.
 Defined results: null, empty and blank texts are no spam; ties (exactly half) are no spam; each document counts for itself.
@@ -13,17 +13,19 @@ Defined results: null, empty and blank texts are no spam; ties (exactly half) ar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from colloquy.common import python_partitions
-from colloquy.llm.languages import FUNCTION_WORDS
+from colloquy.llm import weights
+from colloquy.llm.languages import FUNCTION
 
-FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split()) - {"best"}
+#: So many shapes may make up the non-sentence half of a page.
+FEW = 24
 SPLIT = re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+")
-LINK = re.compile(r"<[a-z/!][^>]*>|\]\([^)\s]*\)|(?:https?:|www\.|//)\S+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}/\S*|(?<![\w@.-])(?:[\w-]+\.)+(?:example|invalid|test|com|net|org|info|biz|io|shop)\b\S*", re.I)
+LINK = re.compile(r"<[a-z/!][^>]*>|\]\([^)\s]*\)|(?:https?:|www\.|//)\S+|(?<![\w@.-])[\w-]+(?:\.[\w-]+)*\.[a-z]{2,24}/\S*|(?<![\w@.-])(?-i:[a-z0-9-]{3,}(?:\.[a-z0-9-]+)*\.[a-z]{2,24})(?![\w.])\S*", re.I)
 ANCHOR = re.compile(r"<a\b[^>]*>[^<]*</a>|\[[^\]\n]*\]\([^)\s]*\)", re.I)
 TAG = re.compile(r"(?<!\S)(?:[#+@]|tags?:)[^\s,;]*[^\W\d_][^\s,;]*", re.I)
 GOODS = re.compile(r"\bSKU\s?-?\d+|[$€£]\s?\d|\b\d+[.,]\d\d(?:\s?(?:€|EUR|USD|\$|£))?\s*$", re.I)
@@ -32,10 +34,17 @@ SEPARATOR = re.compile(r"[|;,•·>»/\\~*]|\s[-–—]\s")
 MAY_LINK = re.compile(r"[/<]|\.[a-z]{2}|\]\(", re.I)
 DIGIT = re.compile(r"\d")
 ENDED = re.compile(r"[.!?…:][\"'»”’)\]]*$|[)\]»”]$")
-HEAD = re.compile(r"(?:[-*•]\s+)?(?:Doc\.|Dok\.|No\.|Nr\.)\s|\W*[\w. ]{0,40}[:：]\s*\d+\W*$")
+HEAD = re.compile(r"(?:[-*•]\s+)?[A-Z]\w{0,4}\.\s\d|\W*[\w. ]*[:：]\s*\d+\W*$")
 LEADERS = re.compile(r"\.{3,}\s*\d+\s*$")
 
 
+# Words of selling and of page navigation.
+MARKET = frozenset(
+    "buy cheap cheapest sale sales free best top deal deals discount online review reviews price prices order shop store offer kaufen günstig billig gratis beste angebot test vergleich preis bestellen acheter promo avis gratuit meilleur comparatif soldes pas cher comprar barato oferta opiniones mejor"
+    " home login sitemap blog more next previous page contact cart menu faq about imprint start kontakt warenkorb accueil panier inicio carrito help news products".split()
+)
+
+
 def priced(piece: str) -> bool:
     return bool(DIGIT.search(piece)) and bool(GOODS.search(piece))
 
@@ -60,12 +69,13 @@ def shape(piece: str) -> tuple:
     words = WORD.findall(piece.lower())
     n = len(words)
     content: dict[str, int] = {}
-    function = 0
+    function = market = 0
     for w in words:
         if w in FUNCTION:
             function += 1
         elif len(w) > 2:
             content[w] = content.get(w, 0) + 1
+            market += w in MARKET
     tokens = piece.split()
     capitals = sum(w[0].isalpha() and not w[0].islower() for w in tokens)
     linked = sum(map(len, LINK.findall(piece))) + sum(map(len, ANCHOR.findall(piece))) if MAY_LINK.search(piece) else 0
@@ -83,36 +93,33 @@ def shape(piece: str) -> tuple:
         is_ended(piece),
         is_entry(piece),
         piece[0].islower() or piece[0] in "#+|>»",
+        round(8 * market / max(1, n)),
     )
 
 
-def kind(s: tuple) -> str:
-    """sentence, record, or a kind of spam."""
-    words, separators, capitals, function, linked, tagged, most, distinct, goods, ended, entry, low = s
-    if linked >= 4:
-        return "links"
-    if tagged >= 4:
-        return "tags"
-    if goods and not ended and function <= 4 and separators < 3:
-        return "goods"
-    if linked + tagged >= 3 and not ended:
-        return "links"
-    if ended:
-        return "stuffed" if most >= 3 and (words <= 6 or distinct <= 4) and words >= 3 else "sentence"
-    if entry:
-        return "record"
-    if words <= 1:
-        return "record"
-    if capitals >= 4 and distinct >= 6:  # a roll of names hardly repeats a word
-        return "record"
-    if separators >= 3 and (distinct <= 6 or function <= 2 and capitals <= 2):
-        return "menu"
-    if words >= 3 and (low or distinct <= 6 and function <= 5 or most >= 3 or function <= 1 and capitals <= 2):
-        return "keywords"
-    return "record"
-
-
-SPAM = frozenset({"links", "tags", "goods", "menu", "keywords", "stuffed"})
+def features(s: tuple) -> dict[str, float]:
+    """The features of a shape that the model weighs; those of finished pieces apart from those of open ones."""
+    words, separators, capitals, function, linked, tagged, most, distinct, goods, ended, entry, low, market = s
+    end = "ended" if ended else "open"
+    out = {
+        end: 1.0, "linked": linked / 8, "tagged": tagged / 8, f"{end} words": words / 8, f"{end} separators": max(0, separators - 1) / 4, f"{end} separated": float(separators >= max(2, words - 1)),
+        f"{end} capitals": capitals / 4, f"{end} function words": function / 8, f"{end} repeats": max(0, most - 2) / 6, f"{end} same words": (8 - distinct) / 8, f"{end} market": market / 8,
+    }
+    marks = (
+        ("goods", goods and not ended), ("goods ended", goods and ended), ("entry", entry), (f"{end} begins low", low),
+         (f"{end} no function word", not function and words > 1), (f"{end} few words", words <= 2), ("open all capitals", not ended and capitals == 4),
+        ("open all capitals return", not ended and capitals == 4 and distinct <= 5),
+        ("open returns", not ended and distinct <= 5 and words > 2), (f"{end} sells", market >= 2), ("mostly linked", linked >= 4 and not entry), ("linked entry", linked >= 4 and entry), ("partly linked", 2 <= linked < 4), ("mostly tagged", tagged >= 4), ("partly tagged", 2 <= tagged < 4), ("open one word", not ended and words <= 1), ("ended returns", ended and most >= 3 and distinct <= 4), ("ended short repeats", ended and most >= 3 and words <= 4),
+    )
+    for name, on in marks:
+        if on:
+            out[name] = 1.0
+    return out
+
+
+def score(s: tuple, table: Mapping[str, float] = weights.PIECE) -> float:
+    """Above 0 for a shape that is none of a sentence or of an entry in a record."""
+    return sum(table.get(k, 0.0) * v for k, v in features(s).items())
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -143,27 +150,47 @@ def pieces(text: str) -> Iterator[str]:
         yield " , ".join(block)
 
 
-def shares(text: str | None) -> dict[str, float]:
-    """The share of each kind in the length of a page."""
-    by_shape: dict[tuple, int] = {}
+def shapes(text: str | None) -> dict[tuple, int]:
+    """The length of each shape in a page."""
+    out: dict[tuple, int] = {}
     for piece in pieces(text or ""):
         s = shape(piece)
-        by_shape[s] = by_shape.get(s, 0) + len(piece)
-    total = sum(by_shape.values())
-    out: dict[str, float] = {}
-    for s, length in by_shape.items():
-        out[kind(s)] = out.get(kind(s), 0.0) + length / total
+        out[s] = out.get(s, 0) + len(piece)
     return out
 
 
-def spam_share(text: str | None) -> float:
-    return sum(v for k, v in shares(text).items() if k in SPAM)
+class Judge:
+    """Judges pages; remembers the scores of shapes, of which there are few."""
+
+    MEMORY = 200_000
+
+    def __init__(self, table: Mapping[str, float] = weights.PIECE):
+        self.table, self.known = table, {}
+
+    def bad(self, s: tuple) -> bool:
+        got = self.known.get(s)
+        if got is None:
+            if len(self.known) > self.MEMORY:
+                self.known.clear()
+            got = self.known[s] = score(s, self.table) > 0
+        return got
+
+    def spam_share(self, text: str | None) -> float:
+        by = shapes(text)
+        return sum(n for s, n in by.items() if self.bad(s)) / max(1, sum(by.values()))
+
+    def is_spam(self, text: str | None) -> bool:
+        """Whether at most ``FEW`` non-sentence shapes hold more than half of the page."""
+        by = shapes(text)
+        largest = sorted((n for s, n in by.items() if self.bad(s)), reverse=True)
+        return sum(largest[:FEW]) > 0.5 * sum(by.values())
 
 
 def found(documents: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge()
         for batch in batches:
-            keep = [i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if spam_share(t) > 0.5]
+            keep = [i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if judge.is_spam(t)]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64())], ["doc_id"])
 
     return python_partitions(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long")

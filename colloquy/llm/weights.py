@@ -127,4 +127,46 @@ ENDING: dict[str, float] = {
     "sentences before on the line": 0.079,
 }
 
-PIECE: dict[str, float] = {}
+PIECE: dict[str, float] = {
+    "ended": -2.203,
+    "ended begins low": 1.544,
+    "ended capitals": -0.425,
+    "ended few words": -0.94,
+    "ended function words": -0.953,
+    "ended market": 0.025,
+    "ended no function word": 1.229,
+    "ended repeats": 0.002,
+    "ended returns": 4.49,
+    "ended same words": 0.016,
+    "ended sells": 1.177,
+    "ended separated": -0.027,
+    "ended separators": -0.078,
+    "ended short repeats": 5.34,
+    "ended words": -1.119,
+    "entry": -2.016,
+    "goods": 7.406,
+    "linked": 0.134,
+    "linked entry": 5.874,
+    "mostly linked": 3.945,
+    "mostly tagged": 3.315,
+    "open": -1.624,
+    "open all capitals": -2.18,
+    "open all capitals return": 3.332,
+    "open begins low": 3.525,
+    "open capitals": 0.048,
+    "open few words": -1.252,
+    "open function words": -1.759,
+    "open market": 0.651,
+    "open no function word": -0.943,
+    "open one word": -2.21,
+    "open repeats": 3.3,
+    "open returns": 1.109,
+    "open same words": 0.573,
+    "open sells": 4.275,
+    "open separated": 0.276,
+    "open separators": 0.116,
+    "open words": -0.503,
+    "partly linked": 4.184,
+    "partly tagged": 2.926,
+    "tagged": 0.05,
+}

@@ -28,19 +28,61 @@ RECORD = [
 ]
 
 
+# Pages in words that the training module hasn't.
+HELD_OUT_SPAM = [
+    "buy cheap shoes online now for sale. best cheap shoes. buy shoes online.",
+    "hotel paris, cheap hotel paris, hotel paris center, best hotel paris, hotel in paris, paris hotel deals",
+    "https://a.co/x https://b.co/y https://c.co/z",
+    "Shop now: blue lamp $9.99\nred lamp $8.99\ngreen lamp $7.50",
+    "Home | Sofas | Beds | Chairs | Sale | Login | Cart | Sofas | Beds | Sale | Help",
+    "#sofa #cheapsofa #sofasale #buysofa #sofa2024 #bestsofa",
+    "plumber leeds plumber york plumber hull emergency plumber leeds cheap plumber york plumber near me plumber hull",
+    "[watch free](http://v1.stream.xyz/a) [watch online](http://v2.stream.xyz/b) [download](http://v3.stream.xyz/c)",
+    "Günstige Brille kaufen. Brille online kaufen. Brille günstig, Brille billig, Brille Angebot.",
+    "zapatos baratos comprar zapatos zapatos oferta zapatos mujer zapatos hombre zapatos baratos online",
+]
+HELD_OUT_RECORD = [
+    "Red apples\nGreen pears\nBlue plums\nYellow lemons",
+    "Roses are red\nViolets are blue\nSugar is sweet\nAnd so are you",
+    "Members present: Mr Smith, Mrs Jones, Dr Brown, Ms Miller, Mr Davis, Mrs Wilson",
+    "Agenda\n1. Opening\n2. Minutes\n3. Budget\n4. Any other business",
+    "The chair opened the meeting at nine. The clerk read the minutes, which were approved. The meeting closed at noon.",
+    "Never again shall we wait. Never again shall we beg. Never again shall we be silent.",
+    "Silence, please! The Member for Harwick has the floor. Please conclude. The Member for Lindau has the floor. (Laughter)",
+    "Paragraph 1 was deleted.\nParagraph 2 was renumbered.\nParagraph 3 was adopted.\nParagraph 4 was adopted.",
+    "Je vous remercie, Monsieur le Président. La séance est levée à midi.",
+    "Year\tIncome\tCost\n2019\t120\t80\n2020\t140\t95\n2021\t150\t99",
+    "See the report (https://record.parliament.test/doc/77) on page four. The minister will answer in writing before the recess.",
+]
+JUDGE = X.Judge()
+
+
 @pytest.mark.parametrize("text", SPAM)
 def test_spam(text):
-    assert X.spam_share(text) > 0.5, X.shares(text)
+    assert JUDGE.is_spam(text), X.shapes(text)
 
 
 @pytest.mark.parametrize("text", RECORD)
 def test_record(text):
-    assert X.spam_share(text) <= 0.5, X.shares(text)
+    assert not JUDGE.is_spam(text), X.shapes(text)
+
+
+def test_held_out_pages():
+    missed, wrong = [t for t in HELD_OUT_SPAM if not JUDGE.is_spam(t)], [t for t in HELD_OUT_RECORD if JUDGE.is_spam(t)]
+    print(missed, wrong)
+    found = len(HELD_OUT_SPAM) - len(missed)
+    assert found >= 0.9 * len(HELD_OUT_SPAM) and found >= 0.9 * (found + len(wrong)), (missed, wrong)
+
+
+def test_few_shapes_dominate(monkeypatch):
+    assert JUDGE.is_spam(SPAM[4])
+    monkeypatch.setattr(X, "FEW", 0)
+    assert not JUDGE.is_spam(SPAM[4]) and JUDGE.spam_share(SPAM[4]) > 0.5
 
 
 def test_the_greater_part_decides():
     speech = "Mr President, I thank the rapporteur for the careful work on this report. "
-    assert X.spam_share(speech * 20 + "\n" + SPAM[0]) < 0.5 < X.spam_share(speech + "\n" + SPAM[0])
+    assert JUDGE.spam_share(speech * 20 + "\n" + SPAM[0]) < 0.5 < JUDGE.spam_share(speech + "\n" + SPAM[0])
 
 
 def test_frames(spark):
