@@ -75,13 +75,14 @@ def defect(question: str | None, answer: str | None) -> str | None:
     """The one defect of a pair, or None."""
     if is_empty(answer):
         return "empty"
-    if question and is_copy(words(question), words(answer)):
+    own = words(answer)
+    if question and is_copy(words(question), own):
         return "copy"
-    if is_refusal(answer):
+    if is_refusal(answer, own=own):
         return "refusal"
     if is_truncated(answer):
         return "truncated"
-    if question and not ASKED.search(question) and languages.other(question, answer):
+    if question and languages.other(question, answer) and not ASKED.search(question):
         return "language"
     return None
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
 from colloquy.llm import weights
-from colloquy.llm.alignment import common_subsequence, containment, places_of, shingles
+from colloquy.llm.alignment import common_subsequence, containment, places_of, shingles, words
 
 # Roles of words, in English, German, French and Spanish; a role ends a line's head.
 ROLES = """
@@ -46,9 +46,6 @@ TEMPLATES = [
         "I WISH REFUSE OBJ", "I REFUSE OBJ", "OBJ I REFUSE", "I OBJ REFUSE", "REFUSE I OBJ", "I REFUSE ACT", "OBJ AGAINST RULE", "OBJ AGAINST I WISH ACT",
     )
 ]
-CUES = re.compile(
-    r"\b(?:\w+n['’]t|cannot|not|no|unable|refus\w*|declin\w*|reject\w*|pass|turn|against|outside|beyond|rather|prefer|violate\w*|nicht|kein\w*|ablehn\w*|lehne|passen|verweiger\w*|verstößt|gegen|ne|n['’]\w+|impossible|encontre|contre|imposible|nunca|rechaz\w*|declinar|contra)\b|拒绝|不|无法", re.I
-)
 # Openings, closings and reasons that go with a refusal and answer nothing.
 COURTESY = re.compile(
     r"hmm|well|i understand|thank you|thanks|is there (?:something|anything) else|(?:can|may) i help|you may want to ask|i hope|please (?:understand|consult)|sorry|i['’]m (?:very |so )?sorry|apologies|my apologies|let me know|to be frank|unfortunately|regrettably"
@@ -71,6 +68,12 @@ def lexicon() -> dict[str, tuple[str, ...]]:
     return out | FIRST_PERSON
 
 
+@lru_cache(maxsize=1)
+def cues() -> frozenset[str]:
+    """The words without one of which no sentence refuses."""
+    return frozenset(w for w, of in lexicon().items() if {"NOT", "REFUSE", "AGAINST"} & set(of)) | set("turn 拒 不 无".split())
+
+
 @lru_cache(maxsize=1)
 def prepared() -> list[tuple[tuple[str, ...], set, dict[str, int]]]:
     return [(t, shingles(t, 2), places_of(t)) for t in TEMPLATES]
@@ -128,16 +131,17 @@ def score(sentence: str, table: Mapping[str, float] = weights.REFUSAL) -> float:
 SAID = 1.0
 
 
-def is_refusal(text: str, table: Mapping[str, float] = weights.REFUSAL) -> bool:
-    if "```" in text or not CUES.search(text):
+def is_refusal(text: str, table: Mapping[str, float] = weights.REFUSAL, own: Sequence[str] | None = None) -> bool:
+    """``own``: the words of the text, if at hand."""
+    if "```" in text or cues().isdisjoint(words(text) if own is None else own):
         return False
     refused, said = 0, 0
     for sentence in SENTENCE.split(text):
-        n = len(TOKEN.findall(sentence))
-        if not n:
+        w = words(sentence)
+        if not w:
             continue
-        if CUES.search(sentence) and score(sentence, table) > 0:
-            refused += n
+        if not cues().isdisjoint(w) and score(sentence, table) > 0:
+            refused += len(w)
         elif not COURTESY.match(sentence.strip(" \"'“„«—-,")):
-            said += n
+            said += len(w)
     return refused > 0 and said <= SAID * refused
