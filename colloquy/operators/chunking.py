@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.functions import text as T
 from colloquy.operators import folds
 
 
@@ -21,8 +22,8 @@ def greedy(most: int):
 
 
 def chunked(canon: DataFrame, most: int) -> DataFrame:
-    """conv_id, idx, size and the chunk of each message."""
-    rows = canon.select("conv_id", "idx", F.length("norm").cast("bigint").alias("size"))
+    """conv_id, idx, size (of its block, as compiling reads it) and the chunk of each message."""
+    rows = canon.select("conv_id", "idx", T.block_length("idx", "role", "text").cast("bigint").alias("size"))
     return folds.running(rows, "conv_id", ["idx"], "size", greedy(most), "chunk")
 
 

@@ -1,74 +1,88 @@
 """Counts, hashes and digests of conversations, and reviews of their order.
 
 The digest of a conversation is one SHA-256 over all its message hashes in order, so it can't be merged from parts. It is folded
-over sorted rows with a running hash: a conversation of any length takes constant memory, and none is collected.
+over sorted rows with a running hash, together with the counts and the first and last hashes: a conversation of any length takes constant memory,
+none is collected, and all of a report comes from one exchange.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.common import spread
 from colloquy.functions import text as T
+from colloquy.operators import folds
 
 
 def hashed(canon: DataFrame) -> DataFrame:
     return canon.withColumn("hash", T.message_hash("role", "norm"))
 
 
-def digests(rows: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:
-    """conv_id and, for each column of hashes, the digest over it in the order of ``idx``."""
-    columns = columns or {"hash": "conversation_digest"}
-    names = ["conv_id", *columns.values()]
-    types = [pa.int64(), *[pa.string()] * len(columns)]
+class Digest:
+    """A digest over hashes in order."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, states = None, []
-        for batch in batches:
-            out: list[tuple] = []
-            for conv, *hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                if not states or conv != key:
-                    if states:
-                        out.append((key, *(s.hexdigest() for s in states)))
-                    key, states = conv, [hashlib.sha256(h.encode()) for h in hashes]
-                else:
-                    for state, h in zip(states, hashes):
-                        state.update(b"\n" + h.encode())
-            yield arrow(out)
-        if states:
-            yield arrow([(key, *(s.hexdigest() for s in states))])
+    def __init__(self) -> None:
+        self.state = None
 
-    def arrow(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * len(names), types)], names)
+    def add(self, value: str) -> None:
+        if self.state is None:
+            self.state = hashlib.sha256(value.encode())
+        else:
+            self.state.update(b"\n" + value.encode())
 
-    ordered = spread(rows.select("conv_id", "idx", *columns), "conv_id").sortWithinPartitions("conv_id", "idx").select("conv_id", *columns)
-    return ordered.mapInArrow(run, "conv_id long, " + ", ".join(f"{n} string" for n in columns.values()))
+    def rows(self) -> list[tuple]:
+        return [(self.state.hexdigest(),)]
+
+
+class Report:
+    """Counts, digest, first and last hashes, and the last hash of each role."""
+
+    SCHEMA = "message_count long, user_count long, assistant_count long, conversation_digest string, first_message_hash string, last_message_hash string, last_user_hash string, last_assistant_hash string"
+
+    def __init__(self) -> None:
+        self.digest, self.count, self.first, self.last = Digest(), 0, None, None
+        self.roles: dict[str, tuple[int, str]] = {}
+
+    def add(self, role: str, value: str) -> None:
+        self.digest.add(value)
+        self.count += 1
+        self.first, self.last = self.first or value, value
+        self.roles[role] = (self.roles.get(role, (0, ""))[0] + 1, value)
+
+    def rows(self) -> list[tuple]:
+        of = {role: self.roles.get(role, (0, None)) for role in T.ROLES}
+        return [(self.count, of["user"][0], of["assistant"][0], *self.digest.rows()[0], self.first, self.last, of["user"][1], of["assistant"][1])]
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """conv_id and the digest over ``hash`` in the order of ``idx``."""
+    return folds.folded(rows, "conv_id", ["idx"], ["hash"], Digest, "conversation_digest string")
 
 
 def report(canon: DataFrame) -> DataFrame:
-    """One row per conversation: counts, digest, first and last hashes, and the last hash of each role."""
-    rows = hashed(canon)
-    last = lambda role: F.max_by("hash", F.when(F.col("role") == role, F.col("idx")))
-    totals = rows.groupBy("conv_id").agg(
-        F.count("*").alias("message_count"), F.count_if(F.col("role") == "user").alias("user_count"), F.count_if(F.col("role") == "assistant").alias("assistant_count"),
-        F.min_by("hash", "idx").alias("first_message_hash"), F.max_by("hash", "idx").alias("last_message_hash"), last("user").alias("last_user_hash"), last("assistant").alias("last_assistant_hash"),
-    )
-    return totals.join(digests(rows), "conv_id")
+    """One row per conversation."""
+    return folds.folded(hashed(canon), "conv_id", ["idx"], ["role", "hash"], Report, Report.SCHEMA)
 
 
 def sequence(canon: DataFrame) -> DataFrame:
-    """Neighbours of one role, first and last roles, first and last index of each role, whether indices are contiguous."""
-    order = Window.partitionBy("conv_id").orderBy("idx")
-    rows = canon.withColumn("same", (F.lag("role").over(order) == F.col("role")).cast("int"))
+    """Neighbours of one role, first and last roles, first and last index of each role.
+
+    Neighbours are compared within blocks of indices, and where two blocks meet by the blocks' ends.
+    """
+    order = Window.partitionBy("conv_id", "block").orderBy("idx")
+    rows = canon.select("conv_id", "idx", "role", F.shiftright("idx", folds.BLOCK_BITS).alias("block"))
+    rows = rows.withColumn("same", (F.lag("role").over(order) == F.col("role")).cast("int"))
     at = lambda role: F.when(F.col("role") == role, F.col("idx"))
-    return rows.groupBy("conv_id").agg(
-        F.coalesce(F.sum("same"), F.lit(0)).cast("bigint").alias("same_role_transitions"), F.min_by("role", "idx").alias("first_role"), F.max_by("role", "idx").alias("last_role"),
-        F.min(at("user")).alias("first_user_index"), F.max(at("user")).alias("last_user_index"), F.min(at("assistant")).alias("first_assistant_index"), F.max(at("assistant")).alias("last_assistant_index"),
+    blocks = rows.groupBy("conv_id", "block").agg(
+        F.coalesce(F.sum("same"), F.lit(0)).alias("same"), F.min_by("role", "idx").alias("first"), F.max_by("role", "idx").alias("last"),
+        *[f(at(r)).alias(f"{n}_{r}") for r in T.ROLES for n, f in (("first", F.min), ("last", F.max))],
+    )
+    joint = (F.lag("last").over(Window.partitionBy("conv_id").orderBy("block")) == F.col("first")).cast("int")
+    return blocks.withColumn("joint", F.coalesce(joint, F.lit(0))).groupBy("conv_id").agg(
+        F.sum(F.col("same") + F.col("joint")).cast("bigint").alias("same_role_transitions"), F.min_by("first", "block").alias("first_role"), F.max_by("last", "block").alias("last_role"),
+        F.min("first_user").alias("first_user_index"), F.max("last_user").alias("last_user_index"), F.min("first_assistant").alias("first_assistant_index"), F.max("last_assistant").alias("last_assistant_index"),
     )
 
 
@@ -78,10 +92,15 @@ def tails(canon: DataFrame) -> DataFrame:
     return canon.groupBy("conv_id").agg(last("user").alias("last_user_text"), last("assistant").alias("last_assistant_text"))
 
 
-def tokens(canon: DataFrame) -> DataFrame:
-    """Token estimates of the source in two forms, of which each is rounded up once, and the share of the first in the second."""
+def tokens(canon: DataFrame, titles: DataFrame) -> DataFrame:
+    """Token estimates of the source in two forms, of which each is rounded up once, and the share of the first in the second.
+
+    The first is the normalised text behind its role, line by line; the second the title and the blocks that compiling reads. titles: conv_id, title.
+    """
     size = F.length("norm") + F.length("role") + 3
-    rows = canon.groupBy("conv_id").agg((F.sum(size) + F.count("*") - 1).alias("chars"), F.sum(F.length("text") + 32).alias("block_chars"), F.max(F.length("norm")).cast("bigint").alias("longest"))
+    rows = canon.groupBy("conv_id").agg((F.sum(size) + F.count("*") - 1).alias("chars"), F.sum(T.block_length("idx", "role", "text")).alias("block_chars"), F.max(F.length("norm")).cast("bigint").alias("longest"))
+    head = F.when(F.coalesce("title", F.lit("")) != "", F.length("title") + 3).otherwise(0)
+    rows = rows.join(titles, "conv_id", "left").withColumn("block_chars", F.col("block_chars") + head)
     return rows.select("conv_id", T.token_estimate("chars").alias("source_tokens"), T.token_estimate("block_chars").alias("block_tokens"), T.token_estimate("longest").alias("longest_tokens")).withColumn("ratio", F.try_divide(F.col("source_tokens"), F.col("block_tokens")))
 
 
