@@ -44,26 +44,57 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
-class FilePart(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class ChatReader(DataSourceReader):
+    #: Bytes of files read by one task.
+    BYTES = 64 << 20
+
     def __init__(self, options: dict):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        import glob
+        """Files packed by size; names and sizes are listed, no content is read."""
         import os
 
-        root = self.options["path"]
-        found = [root] if os.path.isfile(root) else [f for f in glob.glob(f"{root}/**", recursive=True) if os.path.isfile(f)]
-        return [FilePart(f) for f in sorted(found)]
-
-    def read(self, partition: FilePart) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            yield from rows_of(partition.path, f.read())
+        root, found = self.options["path"], []
+        stack = [root]
+        while stack:
+            with os.scandir(stack.pop()) if not os.path.isfile(root) else _one(root) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        stack.append(e.path)
+                    elif e.is_file():
+                        found.append((e.path, e.stat().st_size))
+        packs, held = [[]], 0
+        for path, size in sorted(found):
+            if packs[-1] and held + size > self.BYTES:
+                packs.append([])
+                held = 0
+            packs[-1].append(path)
+            held += size
+        return [Files(p) for p in packs if p]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            with open(path, "rb") as f:
+                yield from rows_of(path, f.read())
+
+
+def _one(path: str):
+    """A listing of one file, like that of its folder."""
+    import contextlib
+    import os
+
+    @contextlib.contextmanager
+    def listing():
+        with os.scandir(os.path.dirname(path) or ".") as entries:
+            yield [e for e in entries if e.name == os.path.basename(path)]
+
+    return listing()
 
 
 class ChatSource(DataSource):
