@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colloquy.common import table
 from colloquy.functions import text as T
-from colloquy.operators import canonical, checkpoint, chunking, compile, conformance, integrity, nested, privacy, timestamps
+from colloquy.operators import canonical, checkpoint, chunking, compile, conformance, integrity, nested, privacy, probes, timestamps
 from colloquy.sources import formats, reader, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,13 @@ def canon(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical(table(spark, sf, "canonical_messages"))
 
 
+def titles(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversation_header").where("conv_id is not null").groupBy("conv_id").agg(F.max("title").alias("title"))
+
+
+TITLES_SQL = "titles AS (SELECT conv_id, max(title) AS title FROM conversation_header WHERE conv_id IS NOT NULL GROUP BY conv_id)"
+
+
 def canon_sql(rest: str, more: str = "") -> str:
     return f"WITH {canonical.SQL}{', ' + more if more else ''} {rest}"
 
@@ -143,11 +150,13 @@ TOKENS = "CASE WHEN {0} = 0 THEN 0 ELSE greatest(1, CAST(ceil({0} / 4.0) AS BIGI
     canon_sql(
         f"""SELECT conv_id, CAST({TOKENS.format('chars')} AS BIGINT) AS source_tokens, CAST({TOKENS.format('block_chars')} AS BIGINT) AS block_tokens, CAST({TOKENS.format('longest')} AS BIGINT) AS longest_tokens,
         ({TOKENS.format('chars')}) / CAST(({TOKENS.format('block_chars')}) AS DOUBLE) AS ratio FROM (
-        SELECT conv_id, sum(length(norm) + length(role) + 3) + count(*) - 1 AS chars, sum(length(text) + 32) AS block_chars, max(length(norm)) AS longest FROM canon GROUP BY conv_id)"""
+        SELECT conv_id, sum(length(norm) + length(role) + 3) + count(*) - 1 AS chars, sum({T.block_length_sql('idx', 'role', 'text')}) + coalesce(max(CASE WHEN title <> '' THEN length(title) + 3 END), 0) AS block_chars, max(length(norm)) AS longest
+        FROM canon LEFT JOIN titles USING (conv_id) GROUP BY conv_id)""",
+        TITLES_SQL,
     )
 )
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
-    return integrity.tokens(canon(spark, sf))
+    return integrity.tokens(canon(spark, sf), titles(spark, sf))
 
 
 @query("SELECT path, left(sha256(content), 16) AS fingerprint FROM raw_export")
@@ -168,6 +177,15 @@ def conformance_structural(spark: SparkSession, sf: str) -> DataFrame:
     return conformance.structural(table(spark, sf, "canonical_messages"), table(spark, sf, "conversation_header"))
 
 
+@query()
+def conformance_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All ten checks and the forbidden values; the expected messages are those of the table itself, with every seventh conversation's altered."""
+    rows = table(spark, sf, "canonical_messages")
+    expected = rows.where("conv_id is not null and role is not null").select("conv_id", "idx", "role", F.when(F.col("conv_id") % 7 == 0, "altered").otherwise(F.coalesce("text", F.lit(""))).alias("text")).distinct()
+    metadata = table(spark, sf, "conversation_header").select("conv_id", F.to_json(F.struct("locator", F.create_map("fingerprint", "title").alias("by"))).alias("metadata"))
+    return conformance.report(rows, table(spark, sf, "conversation_header"), expected, ["SKU ", "@"], metadata)
+
+
 @query("SELECT conv_id, NOT bool_or(contains(text, 'SKU ') OR contains(text, '@')) AS forbidden_values_absent FROM canonical_messages WHERE role IN ('user', 'assistant') AND text IS NOT NULL AND conv_id IS NOT NULL GROUP BY conv_id")
 def forbidden_values(spark: SparkSession, sf: str) -> DataFrame:
     return conformance.containing(table(spark, sf, "canonical_messages"), ["SKU ", "@"])
@@ -266,32 +284,53 @@ def excerpts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     canon_sql(
         f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY hits DESC, idx DESC) AS INTEGER) AS rank FROM hit WHERE hits > 0) WHERE rank <= {TOP_MARKERS}",
-        f"hit AS (SELECT conv_id, idx, {T.state_hits_sql('norm')} AS hits FROM canon WHERE NOT regexp_matches(norm, '[^\\x{{0}}-\\x{{7f}}]'))",
+        f"hit AS (SELECT conv_id, idx, {T.state_hits_sql('norm')} AS hits FROM canon)",
     )
 )
 def state_marker_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """Only over ASCII texts, where SQL can follow the word boundaries; the report over all is ``state_marker_topk_all``."""
-    return checkpoint.markers(canon(spark, sf).where(~F.col("norm").rlike(r"[^\x00-\x7f]")), TOP_MARKERS)
+    return checkpoint.markers(canon(spark, sf), TOP_MARKERS)
 
 
-@query()
-def state_marker_topk_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Over every message, so that the Chinese state words score too; DuckDB's word boundaries are ASCII, hence no SQL."""
-    return checkpoint.markers(canon(spark, sf), TOP_MARKERS)
+def kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return conformance.newest_headers(table(spark, sf, "conversation_header"))
+
+
+def picked(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpoint.selected(canon(spark, sf), kinds(spark, sf), budget=CHECKPOINT_BUDGET)
 
 
 @query()
 def checkpoint_report(spark: SparkSession, sf: str) -> DataFrame:
-    return checkpoint.report(canon(spark, sf), CHECKPOINT_BUDGET)
+    return picked(spark, sf).drop("selected")
+
+
+@query(
+    canon_sql(
+        f"""SELECT conv_id, count(*) AS source_message_count, sha256(string_agg(hash, chr(10) ORDER BY idx)) AS source_conversation_digest, CASE WHEN good THEN true END AS budget_met, good AND min(CASE WHEN role = 'user' THEN idx END) IS NOT NULL AS has_user,
+        good AND max(CASE WHEN role = 'assistant' THEN idx END) IS NOT NULL AS has_assistant, CAST(ceil((sum(length(norm) + length(role) + 3) + count(*) - 1) / 4.0) AS BIGINT) AS source_token_estimate, CASE WHEN good THEN 'ok' ELSE 'nonconforming' END AS status
+        FROM hashed LEFT JOIN (SELECT conv_id, kind IS NOT NULL AND regexp_matches(kind, '{conformance.KIND}') AS ok FROM heads) USING (conv_id), LATERAL (SELECT coalesce(ok, false) AS good) GROUP BY conv_id, good""",
+        HASHED + ", heads AS (SELECT conv_id, coalesce(any_value(source_kind), '') AS kind FROM (SELECT conv_id, source_kind, imported_at, row_number() OVER (PARTITION BY conv_id ORDER BY imported_at DESC NULLS LAST, source_kind DESC NULLS LAST) AS k FROM conversation_header WHERE conv_id IS NOT NULL) WHERE k = 1 GROUP BY conv_id)",
+    )
+)
+def checkpoint_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """What a report says of its source, and whether its pins are as they must be: the latest of each side always fits this budget."""
+    return picked(spark, sf).select(
+        "conv_id", "source_message_count", "source_conversation_digest", "budget_met", F.coalesce("latest_user_included", F.lit(False)).alias("has_user"), F.coalesce("latest_assistant_included", F.lit(False)).alias("has_assistant"), "source_token_estimate", "status"
+    )
 
 
 @query()
 def checkpoint_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return checkpoint.blocks(canon(spark, sf), CHECKPOINT_BUDGET)
+    return checkpoint.blocks(canon(spark, sf), picked(spark, sf))
+
+
+@query()
+def checkpoint_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpoint.documents(canon(spark, sf), picked(spark, sf))
 
 
 CHUNKS_SQL = f"""
-WITH RECURSIVE {canonical.SQL}, sized AS (SELECT conv_id, idx, length(norm) AS size FROM canon),
+WITH RECURSIVE {canonical.SQL}, sized AS (SELECT conv_id, idx, {T.block_length_sql('idx', 'role', 'text')} AS size FROM canon),
 walk AS (
   SELECT conv_id, idx, size, 0 AS chunk, size AS used FROM sized WHERE idx = 0
   UNION ALL
@@ -322,24 +361,23 @@ def resume_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def compile_outline(spark: SparkSession, sf: str) -> DataFrame:
-    return compile.compiled(canon(spark, sf), "outline", chunk_chars=1500, reduce_chars=400, budget_tokens=40)
-
-
-# ---- formats
+    return compile.compiled(canon(spark, sf), "outline", titles(spark, sf), chunk_chars=1500, reduce_chars=400, budget_tokens=40)
 
 
-def titles(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversation_header").where("conv_id is not null").groupBy("conv_id").agg(F.max("title").alias("title"))
+@query()
+def compile_resumed(spark: SparkSession, sf: str) -> DataFrame:
+    """The notes where an earlier run has read the first four messages of each conversation."""
+    rows = canon(spark, sf)
+    early = rows.where("idx < 4")
+    notes = compile.mapped(early, "outline", chunk_chars=1500)
+    return compile.mapped(rows, "outline", chunk_chars=1500, state=(integrity.hashed(early).select("conv_id", "idx", "hash"), notes))
 
 
-@query(canon_sql("""SELECT conv_id, idx, '{"role": ' || CAST(to_json(role) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}' AS line FROM canon WHERE NOT regexp_matches(text, '[\\x{0}-\\x{9}\\x{b}-\\x{1f}\\x{7f}]')"""))
-def jsonl_export(spark: SparkSession, sf: str) -> DataFrame:
-    """Only over texts without control characters but LF; the export of every message is ``jsonl_export_all``."""
-    return sinks.jsonl_rows(canon(spark, sf).where(~F.col("text").rlike(r"[\x00-\x09\x0b-\x1f\x7f]")))
+# ---- formats
 
 
 @query(canon_sql("""SELECT conv_id, idx, '{"role": ' || CAST(to_json(role) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}' AS line FROM canon"""))
-def jsonl_export_all(spark: SparkSession, sf: str) -> DataFrame:
+def jsonl_export(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.jsonl_rows(canon(spark, sf))
 
 
@@ -349,7 +387,7 @@ ESCAPE_SQL = r"regexp_replace({0}, '(?m)^(\\*<<<(?:USER|ASSISTANT)>>>[ \t]*)$',
 @query(
     canon_sql(
         "SELECT b.conv_id, 'FORMAT: paic-compact-v1' || chr(10) || 'TITLE: ' || CASE WHEN coalesce(title, '') = '' THEN '(untitled)' ELSE title END || chr(10) || 'MESSAGES: ' || n || chr(10) || 'POLICY: user and assistant text in order' || chr(10) || chr(10) || body AS document FROM body b LEFT JOIN titles USING (conv_id)",
-        "titles AS (SELECT conv_id, max(title) AS title FROM conversation_header WHERE conv_id IS NOT NULL GROUP BY conv_id), body AS (SELECT conv_id, count(*) AS n, string_agg('<<<' || upper(role) || '>>>' || chr(10) || " + ESCAPE_SQL.format("norm") + " || chr(10), chr(10) ORDER BY idx) AS body FROM canon GROUP BY conv_id)",
+        TITLES_SQL + ", body AS (SELECT conv_id, count(*) AS n, string_agg('<<<' || upper(role) || '>>>' || chr(10) || " + ESCAPE_SQL.format("norm") + " || chr(10), chr(10) ORDER BY idx) AS body FROM canon GROUP BY conv_id)",
     )
 )
 def compact_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -374,13 +412,47 @@ def format_roundtrips(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation written in the four formats and read again: does each digest come back?"""
     files = sinks.documents(canon(spark, sf), titles(spark, sf))
     back = reader.parsed(files).where("status = 'ok'").select(F.regexp_extract("path", r"^(\d+)\.", 1).cast("bigint").alias("conv"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("format"), "idx", "role", T.normalized("text").alias("norm"))
-    key = F.concat(F.col("conv").cast("string"), F.lit(" "), F.col("format"))
-    rows = back.withColumn("key", key).withColumn("conv_id", F.xxhash64("key"))
-    got = integrity.digests(integrity.hashed(rows)).join(rows.select("conv_id", "conv", "format").distinct(), "conv_id").select(F.col("conv").alias("conv_id"), "format", F.col("conversation_digest").alias("got"))
+    rows = back.select(F.concat(F.col("conv").cast("string"), F.lit(" "), F.col("format")).alias("conv_id"), "idx", "role", "norm")
+    got = integrity.digests(integrity.hashed(rows)).select(F.split("conv_id", " ")[0].cast("bigint").alias("conv_id"), F.split("conv_id", " ")[1].alias("format"), F.col("conversation_digest").alias("got"))
     want = integrity.digests(integrity.hashed(canon(spark, sf)))
     return want.withColumn("format", F.explode(F.array(*map(F.lit, ("jsonl", "txt", "html", "aicb"))))).join(got, ["conv_id", "format"], "left").select("conv_id", "format", F.coalesce(F.col("got") == F.col("conversation_digest"), F.lit(False)).alias("same"))
 
 
+@query()
+def redaction_files(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.redaction_files(planted(spark, sf))
+
+
+@query()
+def checkpoint_files(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.checkpoint_files(canon(spark, sf), picked(spark, sf))
+
+
+@query()
+def standard_files(spark: SparkSession, sf: str) -> DataFrame:
+    return sinks.standard_files(canon(spark, sf), titles(spark, sf))
+
+
+@query(f"SELECT doc_id, {T.captured_sql('text')} AS text FROM documents")
+def captured_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.captured("text").alias("text"))
+
+
+def named_exports(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "raw_export").select("path", "content")
+
+
+@query()
+def export_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The exported files as documents of unknown schema: where both a human and an assistant speak, and the structure of the one place, without content."""
+    return probes.scan(named_exports(spark, sf), "human", "assistant")
+
+
+@query()
+def provider_records(spark: SparkSession, sf: str) -> DataFrame:
+    return probes.provider_records(named_exports(spark, sf), "claude", "runtime-large")
+
+
 @query()
 def chat_files(spark: SparkSession, sf: str) -> DataFrame:
     """The exported files as the reader of single conversations sees them: messages, or why a file is refused."""
@@ -389,7 +461,7 @@ def chat_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT activity_id, CASE WHEN starts_with(title, 'Prompted: ') THEN substr(title, 11) WHEN starts_with(title, 'Prompted ') THEN substr(title, 10) ELSE '' END AS prompt
+    rf"""SELECT activity_id, regexp_replace(CASE WHEN starts_with(title, 'Prompted: ') THEN substr(title, 11) WHEN starts_with(title, 'Prompted ') THEN substr(title, 10) ELSE '' END, '^{T.WS_RE2}+|{T.WS_RE2}+\z', '', 'g') AS prompt
     FROM (SELECT DISTINCT activity_id, header, title, products FROM gemini_activity)
     WHERE coalesce(lower(trim(header)) IN ('gemini', 'gemini apps'), false) OR len(list_filter(coalesce(products, []), lambda p: lower(trim(p)) IN ('gemini', 'gemini apps'))) > 0"""
 )
@@ -456,12 +528,18 @@ def path_safety(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("path", T.safe_path("path").alias("safe"))
 
 
-@query("SELECT path, list_aggregate([CASE WHEN s = '' THEN s WHEN lower(s) IN ('share', 'app', 'chat', 'c', 'exports', 'archive', 'claude') THEN lower(s) WHEN regexp_full_match(s, '[0-9]+') THEN ':number' ELSE ':value' END FOR s IN string_split(path, '/')], 'string_agg', '/') AS route FROM raw_export")
+@query(
+    "SELECT path, CASE WHEN path IS NULL THEN '<unavailable>' WHEN len(s) > 12 THEN '<route-too-deep>' ELSE '/' || array_to_string([CASE WHEN lower(x) IN ('gemini', 'share') THEN lower(x) ELSE '<redacted-segment>' END FOR x IN s], '/') END AS route"
+    " FROM (SELECT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM (SELECT CASE length(coalesce(content, '')) % 4 WHEN 0 THEN path WHEN 1 THEN '/Gemini//share/' || path WHEN 2 THEN repeat('/a', 13) ELSE '/' END AS path FROM raw_export))"
+)
 def route_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "raw_export").select("path", T.route_shape("path").alias("route"))
+    """Paths and routes made of them."""
+    kind = F.length(F.coalesce("content", F.lit(""))) % 4
+    path = F.when(kind == 0, F.col("path")).when(kind == 1, F.concat(F.lit("/Gemini//share/"), "path")).when(kind == 2, F.lit("/a" * 13)).otherwise(F.lit("/"))
+    return table(spark, sf, "raw_export").select(path.alias("path")).select("path", T.route_shape("path").alias("route"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 600 THEN left(text, 600) || '…' ELSE text END AS preview FROM documents")
+@query("SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN '<none>' WHEN length(text) > 600 THEN left(text, 600) || chr(10) || '… [preview truncated]' ELSE text END AS preview FROM documents")
 def previews(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.preview("text").alias("preview"))
 
