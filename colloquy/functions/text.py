@@ -211,3 +211,35 @@ def captured_sql(x: str) -> str:
     for pattern, instead in ((r"\x{a0}", "' '"), (r"\r\n?", "chr(10)"), (r"[ \t]+\n", "chr(10)"), (r"\n[ \t]+", "chr(10)"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "repeat(chr(10), 2)")):
         x = f"regexp_replace({x}, '{pattern}', {instead}, 'g')"
     return rf"regexp_replace({x}, '^{WS_RE2}+|{WS_RE2}+\z', '', 'g')"
+
+
+ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+
+
+def iso_micros(c: Column | str) -> Column:
+    """Microseconds since 1970 of an ISO timestamp with a zone; null for anything else."""
+    t = F.btrim(col(c), F.lit(WS_CHARS))
+    return F.when(t.rlike(ISO), F.unix_micros(F.try_to_timestamp(t)))
+
+
+def iso_micros_sql(x: str) -> str:
+    t = rf"regexp_replace({x}, '^{WS_RE2}+|{WS_RE2}+\z', '', 'g')"
+    return f"CASE WHEN regexp_matches({t}, '{ISO}') THEN epoch_us(TRY_CAST({t} AS TIMESTAMPTZ)) END"
+
+
+# What a text must hold to be tried as each format (fixed values).
+SNIFFS = {"compact_txt": r"(?m)^<<<(?:USER|ASSISTANT)>>>?", "clean_html": "chatgpt-migrator-clean-data", "stream_html": "streamController.enqueue", "line": "linear_conversation"}
+
+
+def sniffed(c: Column | str) -> dict[str, Column]:
+    """Whether a text is to be tried as compact text, a clean page, a page with a stream, or a chat export."""
+    t = F.coalesce(col(c), F.lit(""))
+    return {
+        "compact_txt": t.rlike(SNIFFS["compact_txt"]), "clean_html": F.contains(t, F.lit(SNIFFS["clean_html"])), "stream_html": F.contains(t, F.lit(SNIFFS["stream_html"])) & F.contains(t, F.lit(SNIFFS["line"])),
+        "claude_json": t.rlike(r"^\s*[\[{]") & F.contains(t, F.lit('"chat_messages"')),
+    }
+
+
+def deduplicated(c: Column | str) -> Column:
+    """The elements of an array once each, in the order of their first places."""
+    return F.array_distinct(col(c))

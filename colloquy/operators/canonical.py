@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colloquy.common import spread
 from colloquy.functions import text as T
 
 BLOCK = 4096
@@ -20,7 +21,7 @@ def delivered_once(messages: DataFrame) -> DataFrame:
     """conv_id, block, msg_id, idx, role, text of each message with a role, a text and a conversation, once."""
     rows = messages.select("conv_id", "msg_id", "idx", "role", "text").where(F.col("role").isin(*T.ROLES) & F.col("text").isNotNull() & F.col("conv_id").isNotNull())
     rows = rows.withColumn("block", F.floor(F.coalesce("idx", F.lit(LAST)) / BLOCK))
-    return rows.repartition("conv_id", "block").dropDuplicates(["conv_id", "block", "msg_id"])
+    return spread(rows, "conv_id", "block").dropDuplicates(["conv_id", "block", "msg_id"])  # patterns over texts follow, heavy for their bytes
 
 
 def canonical(messages: DataFrame) -> DataFrame:

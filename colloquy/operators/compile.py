@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from urllib.parse import unquote, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +50,25 @@ def backend(name: str) -> Backend:
     return _backends[name]
 
 
+def model_name(name: object, longest: int = 256) -> str:
+    """A model's name as it stands; ValueError if it is empty, too long or has white space or control characters."""
+    if not isinstance(name, str) or not 0 < len(name) <= longest or re.search(r"[\s\x00-\x1f\x7f]", name):
+        raise ValueError("unusable model name")
+    return name
+
+
+def service_base(url: object) -> str:
+    """The base address of a service without a slash at its end; ValueError unless it is plain http or https without user, query, fragment or steps upwards."""
+    try:
+        parts = urlsplit(url) if isinstance(url, str) and not re.search(r"[\s\\\x00-\x1f\x7f]", unquote(unquote(url))) else None
+        sound = parts is not None and parts.scheme in ("http", "https") and parts.hostname and parts.username is None and parts.password is None and not parts.query and not parts.fragment and (parts.port or True)
+    except ValueError:
+        sound = False
+    if not sound or {".", ".."} & set(unquote(unquote(parts.path)).split("/")) or "%25" in parts.path:
+        raise ValueError("unusable address")
+    return urlunsplit((parts.scheme, parts.netloc, parts.path.rstrip("/"), "", ""))
+
+
 def outline(model: str, system: str, user: str, stage: str) -> str:
     """A deterministic stand-in for a model: the stage, the length and the last line."""
     return f"{stage}:{len(user)}:{user.strip().rpartition(chr(10))[2][:60]}"

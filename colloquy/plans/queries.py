@@ -488,14 +488,35 @@ def activity_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT account_id, count(*) AS source_records, count(*) FILTER (coalesce(lower(trim(header)) IN ('gemini', 'gemini apps'), false)) AS activity_records, count(*) FILTER (coalesce(trim(time_text), '') = '') AS missing_time
-    FROM (SELECT DISTINCT activity_id, account_id, header, time_text FROM gemini_activity) GROUP BY account_id"""
+    f"""SELECT account_id, count(*) AS source_records, count(*) FILTER (coalesce(lower(trim(header)) IN ('gemini', 'gemini apps'), false)) AS activity_records, count(*) FILTER (coalesce(trim(time_text), '') = '') AS missing_time,
+    min({T.iso_micros_sql('time_text')}) AS first_time, max({T.iso_micros_sql('time_text')}) AS last_time FROM (SELECT DISTINCT activity_id, account_id, header, time_text FROM gemini_activity) GROUP BY account_id"""
 )
 def activity_counters(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "gemini_activity").select("activity_id", "account_id", "header", "time_text").distinct()
+    at = T.iso_micros("time_text")
     return rows.groupBy("account_id").agg(
-        F.count("*").alias("source_records"), F.count_if(F.coalesce(F.lower(F.trim("header")).isin("gemini", "gemini apps"), F.lit(False))).alias("activity_records"), F.count_if(F.coalesce(F.trim("time_text"), F.lit("")) == "").alias("missing_time")
-    )
+        F.count("*").alias("source_records"), F.count_if(F.coalesce(F.lower(F.trim("header")).isin("gemini", "gemini apps"), F.lit(False))).alias("activity_records"), F.count_if(F.coalesce(F.trim("time_text"), F.lit("")) == "").alias("missing_time"),
+        F.min(at).alias("first_time"), F.max(at).alias("last_time"),
+    )
+
+
+@query("SELECT activity_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS products FROM (SELECT DISTINCT activity_id, list_concat(products, ['Gemini Apps'], products) AS l FROM gemini_activity WHERE products IS NOT NULL AND len(list_filter(products, lambda p: p IS NULL)) = 0)")
+def first_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The products of each activity and one more, twice over, each kept where it stands first."""
+    rows = table(spark, sf, "gemini_activity").where("products is not null and not exists(products, p -> p is null)").select("activity_id", F.concat("products", F.array(F.lit("Gemini Apps")), "products").alias("l")).distinct()
+    return rows.select("activity_id", T.deduplicated("l").alias("products"))
+
+
+@query(
+    r"""SELECT path, regexp_matches(t, '(?m)^<<<(?:USER|ASSISTANT)>>>?') AS compact_txt, contains(t, 'chatgpt-migrator-clean-data') AS clean_html, contains(t, 'streamController.enqueue') AND contains(t, 'linear_conversation') AS stream_html,
+    regexp_matches(t, '^\s*[\[{]') AND contains(t, '"chat_messages"') AS claude_json FROM (SELECT path, coalesce(content, '') || CASE length(coalesce(content, '')) % 4 WHEN 0 THEN chr(10) || '<<<USER>>>' WHEN 1 THEN 'chatgpt-migrator-clean-data' WHEN 2 THEN 'streamController.enqueue linear_conversation' ELSE '' END AS t FROM raw_export)"""
+)
+def format_sniffs(spark: SparkSession, sf: str) -> DataFrame:
+    """Which formats each exported file, with a mark of another one behind it, is tried as."""
+    kind, content = F.length(F.coalesce("content", F.lit(""))) % 4, F.coalesce("content", F.lit(""))
+    mark = F.when(kind == 0, "\n<<<USER>>>").when(kind == 1, "chatgpt-migrator-clean-data").when(kind == 2, "streamController.enqueue linear_conversation").otherwise("")
+    rows = table(spark, sf, "raw_export").select("path", F.concat(content, mark).alias("t"))
+    return rows.select("path", *[c.alias(n) for n, c in T.sniffed("t").items()])
 
 
 @query(
