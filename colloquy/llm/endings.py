@@ -57,6 +57,8 @@ def features(text: str) -> dict[str, float]:
         out["comma"] = 1.0
     elif body[-1:] in CLOSERS and body:
         out["closed"] = 1.0
+    elif re.search(r"[.!?。！？]\s+\d+\Z", bare):
+        out["number behind a full stop"] = 1.0
     elif last.isdigit():
         out[f"{kind} ends in a digit"] = 1.0
     elif last.isalpha():
@@ -84,7 +86,7 @@ def features(text: str) -> dict[str, float]:
         out["address at the end"] = 1.0
     if "full stop" not in out and "closed" not in out:
         inside = bool(re.search(r"[.!?。！？]\s|[。！？]", line[:-1]))
-        if inside and not item:
+        if inside and not item and "number behind a full stop" not in out:
             out["sentences before on the line"] = 1.0
         earlier = [x.strip() for x in head.split("\n") if x.strip()]
         alike = [x for x in earlier if ITEM.match(x)] if item else earlier

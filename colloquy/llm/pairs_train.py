@@ -34,7 +34,7 @@ No es un problema.|El servicio no responde.|No se puede deshacer ese cambio.|La
 """.strip()
 # Endings of whole texts, parted by |; LF is written \n.
 WHOLE = r"""
-Red\nBlue\nYellow|Milk\nEggs\nFlour\nButter|An old silent pond\nA frog jumps into the pond\nSplash! Silence again|Paris|42|Yes|1. Berlin\n2. Paris\n3. Rome|- one\n- two\n- three|Kind regards,\nAnna|Best,\nTom|# Title\n\nShort text.\n\n## Next steps|Total: 12\nMean: 4\nMedian: 3|name,age\nann,3\nbob,4|See https://example.org/a/b|Write to me at a@b.test|Version 3.2|He said "stop."|It works (mostly)|The answer is: 17|12:30|Good luck 🙂|Step one: open it\nStep two: close it|SELECT 1;|x = 3|a, b and c|Apples, pears, plums|The list follows below:\n* red apples\n* green pears|Rosen sind rot\nVeilchen sind blau|- alpha: first letter\n- beta: second letter|(see above)|Roses are red\nViolets are blue\nSugar is sweet\nAnd so are you
+Red\nBlue\nYellow|Milk\nEggs\nFlour\nButter|An old silent pond\nA frog jumps into the pond\nSplash! Silence again|Paris|42|Yes|1. Berlin\n2. Paris\n3. Rome|- one\n- two\n- three|Kind regards,\nAnna|Best,\nTom|# Title\n\nShort text.\n\n## Next steps|Total: 12\nMean: 4\nMedian: 3|name,age\nann,3\nbob,4|See https://example.org/a/b|The door is open. 12|Call me on Monday. 7\n|Das reicht so. 31|Write to me at a@b.test|Version 3.2|He said "stop."|It works (mostly)|The answer is: 17|12:30|Good luck 🙂|Step one: open it\nStep two: close it|SELECT 1;|x = 3|a, b and c|Apples, pears, plums|The list follows below:\n* red apples\n* green pears|Rosen sind rot\nVeilchen sind blau|- alpha: first letter\n- beta: second letter|(see above)|Roses are red\nViolets are blue\nSugar is sweet\nAnd so are you
 """.strip()
 BROKEN = r"""
 The first step is to open the|You should check whether the cable is (|It depends on two things: the size and|Then run the job and wait for|First, open the file. Then copy the second line into|1. open the box\n2. remove the|1. open the box\n2.|- alpha\n-|The result is,|The team said that "the|In short, we need more ...|Take the train to the north and then …|| a | b |\n\nAfter that the table must be sorted by|```python\nfor x in y:\n|Zuerst prüfst du die Leitung und|Die Zahl ist zu hoch, weil der|Ensuite il faut vérifier que le|Después copia la línea en el|This is the best plan of all. The cost is low. The next step would be to ask the people who know the

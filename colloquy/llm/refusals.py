@@ -121,10 +121,17 @@ def features(sentence: str) -> dict[str, float] | None:
     }
 
 
+#: What begins a reason, which neither adds to a refusal nor takes from it.
+REASON = re.compile(r",?\s+\b(?:because|since|as it|weil|denn|car|parce que|puisque|porque|ya que)\b", re.I)
+
+
 def score(sentence: str, table: Mapping[str, float] = weights.REFUSAL) -> float:
-    """Above 0 for a sentence that refuses."""
-    f = features(sentence)
-    return -9.0 if f is None else sum(table.get(k, 0.0) * v for k, v in f.items())
+    """Above 0 for a sentence that refuses, with or without a reason behind it."""
+    best = -9.0
+    for clause in {sentence, REASON.split(sentence, maxsplit=1)[0]}:
+        if (f := features(clause)) is not None:
+            best = max(best, sum(table.get(k, 0.0) * v for k, v in f.items()))
+    return best
 
 
 #: An answer says something if it has more other words, besides courtesy, than so many times the words that refuse.

@@ -94,12 +94,14 @@ def shape(piece: str) -> tuple:
         is_entry(piece),
         piece[0].islower() or piece[0] in "#+|>»",
         round(8 * market / max(1, n)),
+        piece.count("|") + piece.count(" > ") >= 3,
+        piece.count(" ; ") >= 3,
     )
 
 
 def features(s: tuple) -> dict[str, float]:
     """The features of a shape that the model weighs; those of finished pieces apart from those of open ones."""
-    words, separators, capitals, function, linked, tagged, most, distinct, goods, ended, entry, low, market = s
+    words, separators, capitals, function, linked, tagged, most, distinct, goods, ended, entry, low, market, barred, spaced = s
     end = "ended" if ended else "open"
     out = {
         end: 1.0, "linked": linked / 8, "tagged": tagged / 8, f"{end} words": words / 8, f"{end} separators": max(0, separators - 1) / 4, f"{end} separated": float(separators >= max(2, words - 1)),
@@ -109,7 +111,7 @@ def features(s: tuple) -> dict[str, float]:
         ("goods", goods and not ended), ("goods ended", goods and ended), ("entry", entry), (f"{end} begins low", low),
          (f"{end} no function word", not function and words > 1), (f"{end} few words", words <= 2), ("open all capitals", not ended and capitals == 4),
         ("open all capitals return", not ended and capitals == 4 and distinct <= 5),
-        ("open returns", not ended and distinct <= 5 and words > 2), (f"{end} sells", market >= 2), ("mostly linked", linked >= 4 and not entry), ("linked entry", linked >= 4 and entry), ("partly linked", 2 <= linked < 4), ("mostly tagged", tagged >= 4), ("partly tagged", 2 <= tagged < 4), ("open one word", not ended and words <= 1), ("ended returns", ended and most >= 3 and distinct <= 4), ("ended short repeats", ended and most >= 3 and words <= 4),
+        ("open returns", not ended and distinct <= 5 and words > 2), (f"{end} sells", market >= 2), ("open barred", barred and not ended), ("open spaced semicolons", spaced and not ended), ("mostly linked", linked >= 4 and not entry), ("linked entry", linked >= 4 and entry), ("partly linked", 2 <= linked < 4), ("mostly tagged", tagged >= 4), ("partly tagged", 2 <= tagged < 4), ("open one word", not ended and words <= 1), ("ended returns", ended and most >= 3 and distinct <= 4), ("ended short repeats", ended and most >= 3 and words <= 4),
     )
     for name, on in marks:
         if on:

@@ -54,8 +54,18 @@ def makers() -> tuple[list[Callable[[random.Random], str]], list[Callable[[rando
         thing = r.choice(GOODS)
         return r.choice([" ; ", ", ", "\n"]).join(f"{r.choice([thing, thing, r.choice(GOODS)])} {r.choice(TOWNS)}" for _ in range(r.randint(8, 40)))
 
+    nouns = [g for g in GOODS if g[0].isupper()]  # languages that write nouns with capitals
+
+    def noun_towns(r):
+        own = r.sample(nouns, r.randint(3, 6))
+        return r.choice([" ; ", ", ", " | ", "\n"]).join(f"{r.choice(own)} {r.choice(TOWNS)[:4]}{r.choice(NAME_ENDS)}{r.choice(['ford', 'holm', 'wick', 'bury'])}" for _ in range(r.randint(8, 40)))
+
+    def noun_keywords(r):
+        own = r.sample(nouns, r.randint(1, 4))
+        return " ".join(r.choice([f"{r.choice(['kaufen', 'gratis', 'günstig', 'Angebot', 'Test', 'Vergleich', 'beste', 'online'])} {r.choice(own)}", r.choice(own)]) for _ in range(r.randint(8, 60)))
+
     def leet(r):
-        return "".join(c if r.random() < 0.8 else {"o": "0", "e": "3", "a": "@"}.get(c, c) for c in keywords(r))
+        return "".join(c if r.random() < 0.7 else {"o": "0", "e": "3", "a": "@"}.get(c, c) for c in r.choice([keywords, noun_keywords])(r))
 
     def stuffed(r):
         g, p = r.choice(GOODS), PUSH
@@ -96,7 +106,7 @@ def makers() -> tuple[list[Callable[[random.Random], str]], list[Callable[[rando
     def noise(r):
         return f"{r.choice(said)}{r.choice([' ', chr(10)])}{{}}{r.choice([' ', chr(10)])}{r.choice(said)}".format(r.choice([r.choice("x-=.") * r.randint(50, 900), "".join(r.choice("abcdef0123456789") for _ in range(r.randint(60, 900)))]))
 
-    return [links, tags, goods, menu, keywords, towns, towns, leet, stuffed, mixed, mixed], [speech, speech, roll, agenda, papers, table, short_list, verse, noise, noise]
+    return [links, tags, goods, menu, keywords, noun_keywords, towns, towns, noun_towns, leet, leet, stuffed, mixed, mixed], [speech, speech, roll, agenda, papers, table, short_list, verse, noise, noise]
 
 
 def piece_rows(texts: list[str], label: bool, importance: float) -> list[tuple[dict[str, float], bool, float]]:

@@ -95,78 +95,81 @@ REFUSAL: dict[str, float] = {
 }
 
 ENDING: dict[str, float] = {
-    "address at the end": -2.836,
-    "bias": -1.112,
-    "bracket open": 0.239,
-    "closed": -4.418,
-    "closed fence": -4.331,
-    "comma": 3.318,
-    "ellipsis": 2.763,
-    "few words alone": -2.055,
-    "full stop": -4.26,
-    "heading": -0.99,
-    "item ends in a digit": -1.893,
-    "item ends in a function word": 4.014,
-    "item ends in a joining word": 3.877,
-    "item ends in a letter": -1.241,
-    "item of one word": 1.732,
-    "item without words": 6.806,
-    "items of one word": -2.284,
-    "line ends in a digit": 0.014,
-    "line ends in a function word": 1.084,
-    "line ends in a joining word": 1.932,
-    "line ends in a letter": 1.365,
-    "line without words": 4.273,
-    "lines before are open": -1.746,
-    "lines before end in stops": 1.764,
-    "long line": 1.055,
-    "open fence": 2.992,
-    "opened": 3.974,
-    "other sign": -1.027,
-    "quote open": -0.45,
-    "sentences before on the line": 0.079,
+    "address at the end": -2.72,
+    "bias": -1.126,
+    "bracket open": 0.268,
+    "closed": -4.405,
+    "closed fence": -4.316,
+    "comma": 3.242,
+    "ellipsis": 2.708,
+    "few words alone": -1.963,
+    "full stop": -4.245,
+    "heading": -0.907,
+    "item ends in a digit": -1.868,
+    "item ends in a function word": 4.037,
+    "item ends in a joining word": 3.886,
+    "item ends in a letter": -1.202,
+    "item of one word": 1.464,
+    "item without words": 6.838,
+    "items of one word": -1.718,
+    "line ends in a digit": 0.008,
+    "line ends in a function word": 1.074,
+    "line ends in a joining word": 1.986,
+    "line ends in a letter": 1.272,
+    "line without words": 4.185,
+    "lines before are open": -1.658,
+    "lines before end in stops": 1.853,
+    "long line": 1.04,
+    "number behind a full stop": -2.691,
+    "open fence": 3.003,
+    "opened": 3.91,
+    "other sign": -1.121,
+    "quote open": -0.431,
+    "sentences before on the line": 0.159,
 }
 
 PIECE: dict[str, float] = {
-    "ended": -2.203,
-    "ended begins low": 1.544,
-    "ended capitals": -0.425,
-    "ended few words": -0.94,
-    "ended function words": -0.953,
-    "ended market": 0.025,
-    "ended no function word": 1.229,
-    "ended repeats": 0.002,
-    "ended returns": 4.49,
-    "ended same words": 0.016,
-    "ended sells": 1.177,
-    "ended separated": -0.027,
-    "ended separators": -0.078,
-    "ended short repeats": 5.34,
-    "ended words": -1.119,
-    "entry": -2.016,
-    "goods": 7.406,
-    "linked": 0.134,
-    "linked entry": 5.874,
-    "mostly linked": 3.945,
-    "mostly tagged": 3.315,
-    "open": -1.624,
-    "open all capitals": -2.18,
-    "open all capitals return": 3.332,
-    "open begins low": 3.525,
-    "open capitals": 0.048,
-    "open few words": -1.252,
-    "open function words": -1.759,
-    "open market": 0.651,
-    "open no function word": -0.943,
-    "open one word": -2.21,
-    "open repeats": 3.3,
-    "open returns": 1.109,
-    "open same words": 0.573,
-    "open sells": 4.275,
-    "open separated": 0.276,
-    "open separators": 0.116,
-    "open words": -0.503,
-    "partly linked": 4.184,
-    "partly tagged": 2.926,
-    "tagged": 0.05,
+    "ended": -2.152,
+    "ended begins low": 1.593,
+    "ended capitals": -0.32,
+    "ended few words": -0.808,
+    "ended function words": -0.929,
+    "ended market": 0.045,
+    "ended no function word": 1.095,
+    "ended repeats": 0.061,
+    "ended returns": 4.754,
+    "ended same words": 0.076,
+    "ended sells": 1.363,
+    "ended separated": -0.021,
+    "ended separators": -0.012,
+    "ended short repeats": 5.29,
+    "ended words": -1.059,
+    "entry": -1.971,
+    "goods": 7.213,
+    "linked": 0.146,
+    "linked entry": 5.828,
+    "mostly linked": 4.139,
+    "mostly tagged": 3.467,
+    "open": -1.47,
+    "open all capitals": -0.303,
+    "open all capitals return": 3.169,
+    "open barred": 4.165,
+    "open begins low": 3.461,
+    "open capitals": 0.981,
+    "open few words": -1.619,
+    "open function words": -1.838,
+    "open market": 0.77,
+    "open no function word": -0.517,
+    "open one word": -2.168,
+    "open repeats": 3.422,
+    "open returns": 0.949,
+    "open same words": 0.643,
+    "open sells": 3.731,
+    "open separated": -0.112,
+    "open separators": -0.661,
+    "open spaced semicolons": 3.769,
+    "open words": -0.523,
+    "partly linked": 4.257,
+    "partly tagged": 3.019,
+    "tagged": 0.031,
 }
