@@ -459,9 +459,15 @@ class Finder:
         return "".join(out) + text[at:]
 
 
+#: More listed names than there are in the world's registers (some 20 MB); a longer list is taken for a mistake and refused before anything is shipped.
+NAME_BOUND = 1_000_000
+
+
 def learned(name_list: DataFrame) -> Names:
     """The names learned from the list. A list of names is a vocabulary, as a tokenizer's is: it doesn't grow with the texts."""
-    rows = name_list.select(F.trim("name").alias("name"), F.lower(F.trim("kind")).alias("kind")).where("name is not null").distinct().collect()
+    rows = name_list.select(F.trim("name").alias("name"), F.lower(F.trim("kind")).alias("kind")).where("name is not null").distinct().limit(NAME_BOUND + 1).collect()
+    if len(rows) > NAME_BOUND:
+        raise ValueError(f"the name list has more than {NAME_BOUND} names")
     return Names.learn((r["name"], r["kind"]) for r in rows)
 
 
