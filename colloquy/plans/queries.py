@@ -394,7 +394,13 @@ def compact_export(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.compact(canon(spark, sf), titles(spark, sf))
 
 
-@query()
+PAGE_HEAD = """'<!doctype html>' || chr(10) || '<html><head><meta charset="utf-8"></head><body>' || chr(10)"""
+PAGE_ARTICLE = """'<article data-role="' || role || '"><pre>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</pre></article>'"""
+PAGE_ROW = r"""replace(replace(replace('{"role": ' || CAST(to_json(role) AS VARCHAR) || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}', '<', '\u003c'), '>', '\u003e'), '&', '\u0026')"""
+PAGE_SCRIPT = """chr(10) || '<script type="application/json" id="chatgpt-migrator-clean-data">{"format": "chatgpt-migrator-clean-v1", "title": null, "messages": ['"""
+
+
+@query(canon_sql(f"SELECT conv_id, {PAGE_HEAD} || string_agg({PAGE_ARTICLE}, chr(10) ORDER BY idx) || {PAGE_SCRIPT} || string_agg({PAGE_ROW}, ', ' ORDER BY idx) || ']}}</script>' || chr(10) || '</body></html>' || chr(10) AS document FROM canon GROUP BY conv_id"))
 def clean_html_export(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.clean_html(canon(spark, sf))
 
