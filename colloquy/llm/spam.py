@@ -13,6 +13,7 @@ Defined results: null, empty and blank texts are no spam; ties (exactly half) ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
@@ -68,32 +69,28 @@ def shape(piece: str) -> tuple:
     """What remains of a piece: its counts in buckets, its end and its repetition."""
     words = WORD.findall(piece.lower())
     n = len(words)
-    content: dict[str, int] = {}
-    function = market = 0
-    for w in words:
-        if w in FUNCTION:
-            function += 1
-        elif len(w) > 2:
-            content[w] = content.get(w, 0) + 1
-            market += w in MARKET
+    others = [w for w in words if w not in FUNCTION]
+    content = [w for w in others if len(w) > 2]
+    distinct = len(set(content))
+    most = 1 if distinct == len(content) else max(Counter(content).values())
     tokens = piece.split()
-    capitals = sum(w[0].isalpha() and not w[0].islower() for w in tokens)
+    capitals = len([w for w in tokens if (c := w[0]).isalpha() and not c.islower()])
     linked = sum(map(len, LINK.findall(piece))) + sum(map(len, ANCHOR.findall(piece))) if MAY_LINK.search(piece) else 0
     tagged = sum(map(len, TAG.findall(piece))) if "#" in piece or "+" in piece or "@" in piece or "tag" in piece else 0
     return (
         bucket(n),
         bucket(len(SEPARATOR.findall(piece))),
         round(4 * capitals / max(1, len(tokens))),
-        round(8 * function / max(1, n)),
-        min(8, round(8 * linked / len(piece))),
-        min(8, round(8 * tagged / len(piece))),
-        min(8, max(content.values(), default=0)),
-        round(8 * len(content) / max(1, sum(content.values()))),
+        round(8 * (n - len(others)) / max(1, n)),
+        min(8, round(8 * linked / len(piece))) if linked else 0,
+        min(8, round(8 * tagged / len(piece))) if tagged else 0,
+        min(8, most) if content else 0,
+        round(8 * distinct / max(1, len(content))),
         priced(piece),
         is_ended(piece),
         is_entry(piece),
         piece[0].islower() or piece[0] in "#+|>»",
-        round(8 * market / max(1, n)),
+        round(8 * len([w for w in content if w in MARKET]) / max(1, n)),
         piece.count("|") + piece.count(" > ") >= 3,
         piece.count(" ; ") >= 3,
     )
