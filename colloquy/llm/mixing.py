@@ -142,3 +142,14 @@ def shares(documents: DataFrame, targets: DataFrame, wanted: int | None = None)
     total = Window.partitionBy(F.lit(1))  # over the listed sources
     out = wanted.join(got, "source", "left").fillna(0, ["tokens", "documents", "uses", "most_uses"])
     return out.withColumn("actual_share", F.col("tokens") / F.greatest(F.lit(1), F.sum("tokens").over(total)))
+
+
+def invariants(documents: DataFrame, targets: DataFrame) -> DataFrame:
+    """Of each listed source: no document is used more often than its cap, all used documents are its own, and its tokens are within one document of the target."""
+    rows, planned = mixed(documents, targets)
+    owners = documents.select("doc_id", F.col("source").alias("owner")).distinct()
+    own = rows.join(owners, "doc_id").groupBy("source").agg(F.bool_and(F.col("owner").eqNullSafe(F.col("source"))).alias("own_documents"))
+    got = rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("largest"), F.max("copy").alias("most"))
+    wanted = rows.sparkSession.createDataFrame([(s["source"], s["cap"], float(s["target"])) for s in planned], "source string, cap int, target double")
+    out = wanted.join(got, "source", "left").join(own, "source", "left").fillna(0, ["tokens", "largest", "most"]).fillna(True, ["own_documents"])
+    return out.select("source", (F.col("most") <= F.greatest("cap", F.lit(0))).alias("within_cap"), "own_documents", (F.abs(F.col("tokens") - F.col("target")) <= F.col("largest")).alias("target_kept"))

