@@ -233,12 +233,23 @@ def converted(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known, "account_id", "left").withColumn("utc_us", utc_micros_udf("value", "histories", "date_order"))
 
 
+def snapshot_times(headers: DataFrame) -> DataFrame:
+    """src, rec_key, account_id, value of the headers' updates, which are bare numbers."""
+    return headers.select(F.lit("snapshot").alias("src"), F.col("conv_id").cast("string").alias("rec_key"), F.lit(None).cast("bigint").alias("account_id"), plain_double("updated_at").alias("value"))
+
+
+def snapshots(headers: DataFrame) -> DataFrame:
+    """What :func:`found` finds in headers alone; bare numbers need no account."""
+    none = F.array().cast("array<string>")
+    rows = snapshot_times(headers).where("rec_key is not null and value is not null").distinct()
+    return rows.withColumn("utc_us", utc_micros_udf("value", none, F.lit(None).cast("string"))).where("utc_us is not null").select("src", "rec_key", "utc_us").distinct()
+
+
 def gather(exports: DataFrame, activity: DataFrame, headers: DataFrame) -> DataFrame:
     """The timestamps of the three sources as src, rec_key, account_id, value; repeated records once."""
     claude = export_times(exports).select(F.lit("claude").alias("src"), "rec_key", F.expr("try_cast(trim(user) as bigint)").alias("account_id"), "value")
     gemini = activity.select(F.lit("gemini").alias("src"), F.col("activity_id").cast("string").alias("rec_key"), "account_id", F.col("time_text").alias("value"))
-    snapshot = headers.select(F.lit("snapshot").alias("src"), F.col("conv_id").cast("string").alias("rec_key"), F.lit(None).cast("bigint").alias("account_id"), plain_double("updated_at").alias("value"))
-    rows = claude.unionByName(gemini).unionByName(snapshot)
+    rows = claude.unionByName(gemini).unionByName(snapshot_times(headers))
     return rows.where(F.col("rec_key").isNotNull() & F.col("value").isNotNull()).distinct()
 
 

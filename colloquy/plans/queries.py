@@ -63,6 +63,15 @@ def p4_estimated(spark: SparkSession, sf: str) -> DataFrame:
     return timestamps.estimated(table(spark, sf, "raw_export"), table(spark, sf, "gemini_activity"), table(spark, sf, "conversation_header"), table(spark, sf, "account_profile"))
 
 
+@query(
+    f"""SELECT DISTINCT 'snapshot' AS src, CAST(conv_id AS VARCHAR) AS rec_key, utc_us FROM (SELECT conv_id, CASE {" ".join(f"WHEN updated_at * {m} >= {timestamps.LOW} AND updated_at * {m} < {timestamps.HIGH} THEN CAST(round(CAST(updated_at AS DECIMAL(38, 9)) * {m}) AS BIGINT)" for m in (1000000, 1000, 1))} END AS utc_us
+    FROM conversation_header WHERE conv_id IS NOT NULL AND updated_at IS NOT NULL AND isfinite(updated_at)) WHERE utc_us IS NOT NULL"""
+)
+def p4_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """The snapshots' part of ``p4_found``, which SQL can follow."""
+    return timestamps.snapshots(table(spark, sf, "conversation_header"))
+
+
 @query(nested.FOUND_SQL)
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.content_fields(table(spark, sf, "raw_export"))

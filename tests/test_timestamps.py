@@ -128,7 +128,7 @@ def test_values_are_converted_where_the_best_histories_agree(spark):
 
 def test_hidden_zones_come_back(spark, sf):
     """The zones of a third of the accounts are hidden: nearly all zoneless values of theirs that are converted get the instant of the true zone."""
-    read = lambda n: spark.read.parquet(f"{sf}/{n}.parquet".replace("sf0.001/", "sf0.01/"))  # the smallest tables have too few such values
+    read = lambda n: spark.read.parquet(f"{sf}/{n}.parquet".replace("sf0.001/", "sf0.1/"))  # the smallest tables have too few such values
     exports, activity, headers, accounts = (read(n) for n in ("raw_export", "gemini_activity", "conversation_header", "account_profile"))
     hide = (F.col("account_id") % 3 == 0) & F.col("tz_name").isNotNull()
     true = {r[:2]: r[2] for r in T.found(exports, activity, headers, accounts).collect()}
