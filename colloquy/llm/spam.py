@@ -35,7 +35,7 @@ SEPARATOR = re.compile(r"[|;,•·>»/\\~*]|\s[-–—]\s")
 MAY_LINK = re.compile(r"[/<]|\.[a-z]{2}|\]\(", re.I)
 DIGIT = re.compile(r"\d")
 ENDED = re.compile(r"[.!?…:][\"'»”’)\]]*$|[)\]»”]$")
-HEAD = re.compile(r"(?:[-*•]\s+)?[A-Z]\w{0,4}\.\s\d|\W*[\w. ]*[:：]\s*\d+\W*$")
+HEAD = re.compile(r"(?:[-*•]\s+)?[A-Z]\w{0,4}\.\s\d|\W*+[\w. ]*+[:：]\s*\d+\W*$")
 LEADERS = re.compile(r"\.{3,}\s*\d+\s*$")
 
 

@@ -20,7 +20,7 @@ def test_long_text(kind):
     pii.visible(text)
     pairs.defect("How do I do this?", text)
     pairs.defect(text, text)
-    assert 0 <= spam.spam_share(text) <= 1.0001
+    assert 0 <= spam.Judge().spam_share(text) <= 1.0001
     assert list(splitting.pieces(text, 512, 32))[-1][1] == len(text)
     if tokenizer.os.path.exists(tokenizer.FOLDER):
         tokenizer.encoder(tokenizer.rank_file()).encode(text)
